@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, exact_dedup, pii, url_filter
+from sheaf.llm import bpe, exact_dedup, minhash, pii, ppm, url_filter
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,6 +30,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(_read(spark, sf_dir, "documents"), minhash.Plan(size=3, percent=85))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_read(spark, sf_dir, "documents"))
 
@@ -45,6 +49,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), VOCABULARY, digests=True)
 
@@ -54,7 +62,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_pii, op8_bpe, op9_url_filter)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_minhash, op3_pii, op7_ppm, op8_bpe, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
