@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Unicode's White_Space, which separates words; Python's own notion also has U+001C to U+001F.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -197,34 +198,44 @@ class Bpe:
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[1]])
 
 
-def encode_documents(
-    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False
-) -> DataFrame:
-    """One row per input row: doc_id, ids (array), decoded; with digests instead n_tokens, ids_sha256, decoded_sha256.
+def encode(rows: DataFrame, vocabulary: str, digests: bool = False) -> DataFrame:
+    """rows (row, text) as row and ids, decoded; with digests instead n_tokens, ids_sha256, decoded_sha256.
 
     The driver reads the vocabulary file and broadcasts its content. Null text counts as empty and has no ids.
-    Identifiers may be null or repeat; other columns are ignored.
     """
     with open(vocabulary, "rb") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
-    kind = docs.schema[id_col].dataType.simpleString()
-    more = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
+        content = rows.sparkSession.sparkContext.broadcast(f.read())
+    if digests:
+        more = [("n_tokens", pa.int64(), T.LongType()), ("ids_sha256", pa.string(), T.StringType()), ("decoded_sha256", pa.string(), T.StringType())]
+    else:
+        more = [("ids", pa.list_(pa.int32()), T.ArrayType(T.IntegerType())), ("decoded", pa.string(), T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(content.value)
         for batch in batches:
-            size, columns = batch.num_rows, ([], [], [])
-            for k in range(size):
+            columns: list[list] = [[] for _ in more]
+            for k in range(batch.num_rows):
                 ids, decoded = bpe.encode(batch.column(1)[k].as_py() or "")
                 if digests:
                     row = len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
                 else:
                     row = np.frombuffer(ids, "<i4"), decoded
-                for column, value in zip(columns, row, strict=False):
+                for column, value in zip(columns, row, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *names])
+            arrays = [pa.array(c, kind) for c, (_, kind, _) in zip(columns, more, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["row", *[name for name, _, _ in more]])
+
+    schema = T.StructType([rows.schema["row"], *[T.StructField(name, kind) for name, _, kind in more]])
+    return rows.select("row", "text").mapInArrow(run, schema)
+
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, {more}")
+def encode_documents(
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False
+) -> DataFrame:
+    """One row per input row: doc_id and what `encode` adds.
+
+    Null and empty texts have no ids. Identifiers may be null or repeat; other columns are ignored. An empty table
+    gives an empty result.
+    """
+    rows = docs.select(docs[id_col].alias("row"), docs[text_col].alias("text"))
+    return encode(rows, vocabulary, digests).withColumnRenamed("row", "doc_id")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import bpe, exact_dedup, minhash, pii, ppm, url_filter
+from sheaf.llm import ann, bpe, exact_dedup, line_dedup, minhash, mixing, pii, ppm, toxicity, url_filter
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -49,6 +49,28 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the numbers of lines that it had, lost and has, and the text that is left, null where it had none."""
+    found = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("_lines").alias("n_lines"),
+        F.col("_removed").alias("n_removed"),
+        (F.col("_lines") - F.col("_removed")).alias("n_kept"),
+        F.col("_text").alias("text"),
+    )
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document is in the mix: by slot, then by place."""
+    mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("row.doc_id", "source", "index", "block", "slot", "place")
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(_read(spark, sf_dir, "documents"))
 
@@ -61,8 +83,15 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"), RULES)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_minhash, op3_pii, op7_ppm, op8_bpe, op9_url_filter)}
+    every = (
+        op1_exact_dedup, op2_minhash, op3_pii, op4_line_dedup, op5_mixing, op6_nearest, op7_ppm, op8_bpe, op9_url_filter, op10_toxicity,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
