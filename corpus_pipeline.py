@@ -18,6 +18,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The network learns from the rows of labels whose documents are among docs. Null and empty texts are kept, as are
     rows without an identifier; repeated rows share their fate. An empty table gives an empty result.
     """
+    scratch.bound_batches(spark)
     return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(docs.columns)
 
 
@@ -40,6 +41,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts without words are linked with nothing and stay. Rows without an identifier stay. Rows that repeat the kept
     identifier stay. An empty table gives an empty result.
     """
+    scratch.bound_batches(spark)
     dropped = minhash.near_dedup(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(dropped, docs["doc_id"] == F.col("_gone"), "left_anti")
 
@@ -58,6 +60,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids. The order of the rows is that of docs. An empty table gives an empty result.
     """
+    scratch.bound_batches(spark)
     rows = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
     found = bpe.encode(rows, registry.VOCABULARY)
     return found.select("row.*", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import ann, bpe, exact_dedup, line_dedup, minhash, mixing, pii, ppm, toxicity, url_filter
+from sheaf.llm import ann, bpe, exact_dedup, line_dedup, minhash, mixing, pii, ppm, scratch, toxicity, url_filter
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,6 +23,7 @@ RULES = [
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    scratch.bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

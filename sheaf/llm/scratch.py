@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bounds the Arrow batches of the session by bytes, as texts can be long: a batch is held by Spark and by Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table of its own and returns the table as read back."""
     spark = df.sparkSession
