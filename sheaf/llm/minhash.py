@@ -133,38 +133,60 @@ def _verify(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _across(members: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b, equal) of members of one bucket, but of different components, that size and signature allow.
+    """Links (a, b) between members of one bucket, but of different components.
 
-    members: key, node, n, sig, component. A bucket is cut into blocks, and every two blocks meet in one slice, where
-    their signatures are compared as arrays; only pairs that pass leave it.
+    members: key, node, n, bands, sig, component, text. A bucket is cut into blocks, and every two blocks meet in one
+    slice. A pair is looked at in the smallest bucket key that it shares; where size and signature allow, full sets are
+    compared, unless links that the slice has found before connect the two already. Only links leave it.
     """
     size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     blocks = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = blocks.select("*", other.alias("other")).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "sig", "component"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "sig", "component", "bands", "text"
     )
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compare(rows: list[tuple]) -> tuple[list[int], list[int], list[int]]:
-        out: tuple[list[int], list[int], list[int]] = [], [], []
-        i, j = rows[0][1], rows[0][2]
+    def compare(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        out: tuple[list[int], list[int]] = [], []
+        key, i, j = rows[0][:3]
         left = [r for r in rows if r[3] == i]
         right = left if i == j else [r for r in rows if r[3] == j]
         if not left or not right:
             return out
-        sizes, comps, nodes = (np.array([r[k] for r in right], np.int64) for k in (5, 7, 4))
+        above = {r[7]: r[7] for r in rows}  # of a component, one that it has been linked with; roots are their own
+
+        def root(c: int) -> int:
+            while above[c] != c:
+                above[c] = c = above[above[c]]
+            return c
+
+        sizes, nodes = (np.array([r[k] for r in right], np.int64) for k in (5, 4))
         sigs = np.frombuffer(b"".join([r[6] for r in right]), np.uint8).reshape(len(right), -1)
+        bands = np.array([r[8] for r in right], np.int64)
+        sets = {}
         for r in left:
-            ok = (comps != r[7]) & (100 * np.minimum(sizes, r[5]) >= plan.percent * np.maximum(sizes, r[5]))
+            ok = 100 * np.minimum(sizes, r[5]) >= plan.percent * np.maximum(sizes, r[5])
             ok &= nodes > r[4] if i == j else nodes != r[4]
             at = np.flatnonzero(ok)
-            if len(at):
-                equal = (sigs[at] == np.frombuffer(r[6], np.uint8)).sum(axis=1)
-                for k in np.flatnonzero(equal >= plan.least_equal):
-                    a, b = sorted((r[4], int(nodes[at[k]])))
-                    for column, value in zip(out, (a, b, int(equal[k])), strict=True):
-                        column.append(value)
+            at = at[(sigs[at] == np.frombuffer(r[6], np.uint8)).sum(axis=1) >= plan.least_equal] if len(at) else at
+            if not len(at):
+                continue
+            own = np.array(r[8], np.int64)
+            shared = np.where(bands[at] == own, own, np.iinfo(np.int64).max).min(axis=1)
+            for k in at[shared == key]:
+                other = right[k]
+                if root(r[7]) == root(other[7]):
+                    continue
+                for x in (r, other):
+                    if x[4] not in sets:
+                        sets[x[4]] = shingle_set(x[9], plan.size)
+                s, t = sets[r[4]], sets[other[4]]
+                both = common(s, t)
+                if 100 * both >= plan.percent * (len(s) + len(t) - both):
+                    above[root(r[7])] = root(other[7])
+                    out[0].append(r[4])
+                    out[1].append(other[4])
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +197,7 @@ def _across(members: DataFrame, plan: Plan) -> DataFrame:
                 columns = compare(group)
                 group.clear()
                 if columns[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "equal"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -184,7 +206,7 @@ def _across(members: DataFrame, plan: Plan) -> DataFrame:
                 group.append(row)
         yield from flush()
 
-    return rows.mapInArrow(run, "a long, b long, equal long").groupBy("a", "b").agg(F.max("equal").alias("equal"))
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,9 +214,8 @@ def near_dedup(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", tex
 
     Equal sets are one node, named by their smallest identifier. Nodes that share a band are in one bucket. First each
     node is verified against the smallest node of the bucket that it shares most bands with; components of these links
-    leave few buckets with more than one component, and there all pairs of different components are compared: first
-    the likeliest for each node and component, then, with components known anew, the rest. Two nodes of one bucket are
-    thus in one component, or compared. Links are confirmed on full sets of 64-bit fingerprints.
+    leave few buckets with more than one component, and there all pairs of different components are compared. Two nodes
+    of one bucket are thus in one component, or compared. Links are confirmed on full sets of 64-bit fingerprints.
 
     Null and empty texts and such without words have no shingles and no links. Identifiers are integers. Rows that
     repeat an identifier are one document; rows without one have the component of equal sets, null where there are
@@ -225,19 +246,12 @@ def near_dedup(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", tex
 
     split = placed(members.select("key", "node"), "node", "component")
     mixed = split.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-    open_members = split.join(mixed.select("key"), "key").join(nodes.select("node", "n", "sig"), "node")
-    open_pairs = save(_across(open_members, plan).join(
-        tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open")
-    drop(tested, members)
-    ways = open_pairs.unionAll(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "equal"))
-    likely = placed(ways, "b", "c").groupBy("a", "c").agg(F.max(F.struct("equal", "b")).alias("x"))
-    likely = save(likely.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct(), "pairs")
-    more = save(_verify(likely, texts, plan), "links")
-    found = components(links.unionAll(more))
-    rest = placed(placed(open_pairs, "a", "x"), "b", "y").filter("x != y").select("a", "b")
-    last = save(_verify(rest.join(likely, ["a", "b"], "left_anti"), texts, plan), "links")
-    found = components(links.unionAll(more).unionAll(last))
-    drop(open_pairs, likely, texts, links, more, last)
+    facts = nodes.select("node", "n", "bands", "sig").join(texts.groupBy("node").agg(F.min("text").alias("text")), "node")
+    open_members = split.join(mixed.select("key"), "key").join(facts, "node")
+    more = save(_across(open_members, plan), "links")
+    if not more.isEmpty():
+        found = components(links.unionAll(more))
+    drop(tested, members, texts, links, more)
 
     named = placed(nodes.select("fp", "node"), "node", "component_id").select("fp", "component_id")
     full = sketch.filter("fp is not null").join(named, "fp", "left").select("doc_id", "n", "component_id")
