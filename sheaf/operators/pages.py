@@ -61,7 +61,7 @@ def title_line(lines: Column, page_height: Column) -> Column:
 def title(lines: Column, page_height: Column) -> Column:
     """The title: the best line with Chinese lines of like size that follow on it below, then above."""
     best = title_line(lines, page_height)
-    chosen = F.filter(lines, lambda l: l["line_no"] == best["line_no"])[0]
+    chosen = F.get(F.filter(lines, lambda l: l["line_no"] == best["line_no"]), 0)
     size = layout.height(chosen)
 
     def grown(near: Column, edge: Column, gap, next_edge, joined) -> Column:
