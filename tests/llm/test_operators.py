@@ -74,6 +74,42 @@ def test_line_dedup_links_near_lines(spark):
     assert got.agg(F.sum("_removed")).first()[0] == 40 - len(set(group)) >= 20
 
 
+def edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(last + (a != b), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+@pytest.mark.parametrize("few", [line_dedup.FEW, 0])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    rng = np.random.default_rng(9)
+    vocabulary = [chr(97 + i % 26) * (1 + i // 26) for i in range(300)]
+    passage, lines = list(rng.choice(vocabulary, 8)), []
+    for n in [4, 5, 6, 7, *range(8, 61, 2)]:
+        one = list(rng.choice(vocabulary, n))
+        if n > 12:
+            one[n // 3 : n // 3 + 8] = passage
+        for k in (0, 1, n // 10, n // 5, n // 5 + 1, n // 4):
+            other = list(one)
+            for at in rng.choice(n, k, replace=False):
+                other[at] = rng.choice(vocabulary)
+            if k % 2:
+                other.insert(int(rng.integers(n)), other.pop(int(rng.integers(n))))
+            lines.append(other)
+    group = list(range(len(lines)))
+    for i, x in enumerate(lines):
+        for j in range(i):
+            if edits(x, lines[j]) * 100 <= 20 * max(len(x), len(lines[j])):
+                group = [group[j] if g == group[i] else g for g in group]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    gone = sorted(r.doc_id for r in line_dedup.dedup_lines(docs).filter("_removed = 1").collect())
+    assert gone == [i for i in range(len(lines)) if group.index(group[i]) < i] and len(gone) > 60
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None)], [(1, "a\na"), (1, "a\na")]])
 def test_line_dedup_of_little(spark, rows):
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
