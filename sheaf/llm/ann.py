@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 WIDTH, CENTROIDS = 4, 16
 #: The codebooks are fitted on so many vectors at most, those with the smallest hashes of their identifiers.
 SAMPLE = 20_000
-#: Vectors and queries that meet in one unit of work, and candidates that a table scan passes on to exact scores.
+#: Vectors and queries that meet in one unit of work, and the candidates of a table scan that get exact scores first.
 CHUNK, BLOCK, RERANK = 8192, 1024, 160
+#: Bounds of the rounding of table scans in single precision, and of a product of matrices in double precision.
+SLACK, ROUNDING = 1e-4, 1e-9
 #: Scores below this cosine don't matter to a search, by which errors along a vector weigh more than errors across.
 THRESHOLD = 0.2
 
@@ -47,6 +49,11 @@ class Codebook:
                 total = others + along[rows[:, 0], m, codes[:, m]]
         return codes.astype(np.uint8)
 
+    def errors(self, unit: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Lengths of the errors: no score by unit queries is off by more."""
+        chosen = self.centroids[np.arange(codes.shape[1])[None], codes]
+        return np.sqrt(((self._parts(unit) - chosen) ** 2).sum(axis=(1, 2)))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query with each centroid: query, subspace, centroid."""
         return np.einsum("nmw,mcw->nmc", self._parts(queries), self.centroids).astype(np.float32)
@@ -100,26 +107,35 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
 
+def _scores(x: np.ndarray, lengths: np.ndarray, q: np.ndarray, query_length: float) -> np.ndarray:
+    return (x * q).sum(axis=1) / (lengths * query_length)
+
+
 def nearest(book: Codebook | None, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the k nearest of x, as (query id, id, cosine); ids rise, and of equal scores the smaller id is nearer."""
+    """For each query the k nearest of x, as (query id, id, cosine); ids rise, and of equal scores the smaller id is nearer.
+
+    The RERANK best of the table scan set a score to be reached; whatever may reach it, by the errors of the codes, gets
+    an exact score as well, so that the result is that of comparing all.
+    """
     lengths, query_lengths = _norms(x), _norms(q)
     if book is not None and len(x) > RERANK:
-        rough = scan(book, book.encode(x / lengths[:, None]), q / query_lengths[:, None])
+        unit = x / lengths[:, None]
+        codes = book.encode(unit)
+        rough, error = scan(book, codes, q / query_lengths[:, None]), book.errors(unit, codes) + SLACK
     else:
-        rough = np.zeros((len(q), len(x)), np.float32)
         book = None
     out: list[np.ndarray] = [[], [], []]
     for i in range(len(q)):
-        if book is None:
-            at = np.arange(len(x))
-        else:
-            s = rough[i]
-            least = np.partition(s, len(s) - RERANK)[len(s) - RERANK]
-            at = np.flatnonzero(s > least)
-            ties = np.flatnonzero(s == least)[: RERANK - len(at)]  # equal vectors have equal codes: the smaller ids stay
-            at = np.concatenate([at, ties])
-        at = at[ids[at] != query_ids[i]]
-        exact = (x[at] * q[i]).sum(axis=1) / (lengths[at] * query_lengths[i])
+        others = ids != query_ids[i]
+        at = np.flatnonzero(others)
+        if book is not None and len(at) > max(k, RERANK):
+            s = rough[i, at]
+            first = at[np.argpartition(s, len(s) - max(k, RERANK))[-max(k, RERANK) :]]
+            reached = np.sort(_scores(x[first], lengths[first], q[i], query_lengths[i]))[-k]
+            at = at[s + error[at] >= reached]
+            close = unit[at] @ (q[i] / query_lengths[i])
+            at = at[close >= reached - ROUNDING]
+        exact = _scores(x[at], lengths[at], q[i], query_lengths[i])
         best = np.lexsort((ids[at], -exact))[:k]
         out[0].append(np.full(len(best), query_ids[i]))
         out[1].append(ids[at[best]])
@@ -137,8 +153,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
     """query_id, rank, vec_id, score: the k nearest rows by cosine for each row that `queries` selects, but itself.
 
     All rows are coded and scanned for all queries: chunks of rows meet blocks of queries, so that a unit of work is
-    bounded however many rows are equal. Each unit passes its best RERANK candidates by the table scan to exact
-    scores in double precision, and only its k best leave it. `queries` is a condition on vec_id.
+    bounded however many rows are equal. In each unit the best RERANK rows by the table scan, and all others that the
+    errors of the codes leave in question, get exact scores in double precision, and only its k best leave it. `queries` is a condition on vec_id.
 
     Rows without an identifier take no part, nor do vectors that are null, empty or zero, or hold a null or non-finite
     component. Vectors are compared with those of their own dimension; the most frequent one has codebooks, others

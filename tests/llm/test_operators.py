@@ -179,6 +179,20 @@ def test_nearest_recall(spark):
     assert ann.search(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 2
 
 
+@pytest.mark.parametrize("n, copies", [(2000, 0), (8192, 0), (8192, 2731)])
+def test_nearest_equals_brute_force(n, copies):
+    x = np.random.default_rng(8).standard_normal((n, 64))
+    x[n - copies :] = x[0]  # a third of copies
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    asked = np.arange(0, n, 200)
+    got = ann.nearest(ann.fit(unit[:2000]), np.arange(n), x, asked, x[asked], 5)
+    for i in asked:
+        close = np.round(unit @ unit[i], 12)
+        close[i] = -2
+        best = np.lexsort((np.arange(n), -close))[:5]
+        assert got[1][got[0] == i].tolist() == best.tolist()
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(6)
     plain = ["river", "stone", "green", "walk", "sing", "table", "cloud", "paper"]
