@@ -92,6 +92,25 @@ def merge_documents(outputs: DataFrame) -> DataFrame:
     return merged.drop("alone")
 
 
+def suspects_first(outputs: DataFrame, order: str = "out_seq") -> DataFrame:
+    """outputs with place, from 1: suspect ones first, otherwise by order, a number. A null suspect is none; null order is last.
+
+    The order is cut into ranges. Rows are numbered within their range, and what the ranges before it hold is added.
+    """
+    ranges = int(outputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = outputs.select(F.col(order).cast("double").alias("x")).approxQuantile("x", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges))
+    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>")
+    before = F.size(F.filter(cuts, lambda b: b < F.col(order).cast("double")))
+    late = ~F.coalesce("suspect", F.lit(False))
+    rows = outputs.withColumns({"_late": late, "_range": F.when(F.col(order).isNull(), F.lit(ranges)).otherwise(before)})
+    sizes = rows.groupBy("_late", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_late", "_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = sizes.withColumn("_begin", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    k = F.row_number().over(Window.partitionBy("_late", "_range").orderBy(order))
+    numbered = rows.withColumn("_k", k).join(F.broadcast(sizes), ["_late", "_range"])
+    return numbered.withColumn("place", F.col("_begin") + F.col("_k")).drop("_late", "_range", "_begin", "_k")
+
+
 def summary(outputs: DataFrame) -> DataFrame:
     """One row: total, animals, unidentified, docs, suspects. outputs: id, suspect."""
     document = F.col("id").rlike("^No[.]")

@@ -151,6 +151,8 @@ SELECT o_orderkey, c_name || CASE WHEN o_orderkey % 3 <> 0 THEN '_' || c_mktsegm
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "normal_dates": "SELECT o_orderkey, CASE WHEN year(o_orderdate) % 100 < 10 THEN (year(o_orderdate) % 100)::VARCHAR ELSE strftime(o_orderdate, '%y') END || strftime(o_orderdate, '%m%d') AS day FROM orders",
     "suspect_first": "SELECT quality = 0 AS suspect, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM labels GROUP BY ALL",
+    "suspect_order": """
+SELECT doc_id, coalesce(quality = 0, false) AS suspect, row_number() OVER (ORDER BY coalesce(quality = 0, false) DESC, doc_id) AS place FROM labels""",
     "batch_summary": f"""
 WITH {_OUTPUTS} SELECT count(*) AS total, count(id) AS animals, count(*) - count(id) AS unidentified, 0::BIGINT AS docs, count(*) FILTER (suspect) AS suspects FROM o""",
     "resume_antijoin": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

@@ -189,11 +189,17 @@ def normal_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suspect_first(spark: SparkSession, d: str) -> DataFrame:
-    """The place of each labelled document when those of low quality come first."""
+    """How many labelled documents are of low quality and how many are not, each with the first and the last one."""
     labels = tables.read(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("suspect"))
     return labels.groupBy("suspect").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
+def suspect_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each labelled document when those of low quality come first."""
+    labels = tables.read(spark, d, "labels").select("doc_id", F.coalesce(F.col("quality") == 0, F.lit(False)).alias("suspect"))
+    return segments.suspects_first(labels, "doc_id")
+
+
 def batch_summary(spark: SparkSession, d: str) -> DataFrame:
     return segments.summary(_outputs(spark, d))
 
@@ -224,7 +230,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         lines_split, token_candidates, shape_clusters, skeleton_repeats, list_page_flag, garbage_lines, title_pick, lang_ratio, right_cell,
         below_cell, roster_build, roster_fuzzy_unique, roster_page_hits, roster_impute, segments_by_class, segment_summary, merge_key_groups,
-        merge_flags, dedupe_names, name_template, normal_dates, suspect_first, batch_summary, resume_antijoin, lru_files, history_top, retry_select,
+        merge_flags, dedupe_names, name_template, normal_dates, suspect_first, suspect_order, batch_summary, resume_antijoin, lru_files, history_top,
+        retry_select,
     )
     return {f.__name__: f for f in every}
 

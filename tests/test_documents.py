@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheaf.operators import pages, pagestore, roster, segments
@@ -85,6 +86,14 @@ def test_names_and_merging(spark):
     assert got == [("007", 2, True, "a + c"), (None, 1, True, "b"), (None, 1, False, "d")]
 
 
+@pytest.mark.parametrize("n", [0, 1, 400])
+def test_suspects_first(spark, n):
+    rows = [(i * 7 % 401, None if i % 5 == 4 else i % 3 == 0) for i in range(n)]
+    found = segments.suspects_first(spark.createDataFrame(rows, "out_seq long, suspect boolean"))
+    want = sorted(rows, key=lambda r: (not r[1], r[0]))
+    assert sorted((r.place, r.out_seq, r.suspect) for r in found.collect()) == [(k, *r) for k, r in enumerate(want, 1)]
+
+
 def test_recent_files(spark):
     touched = spark.createDataFrame([(f"f{i}", i) for i in range(8)], "file string, updated_at int")
     assert sorted(r.file for r in pagestore.recent_files(touched).collect()) == [f"f{i}" for i in range(2, 8)]
