@@ -47,23 +47,26 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: that of the written files, and of the rows within each.
+    """All documents with their place in the mix, mix_slot and mix_place, and sorted by it.
 
-    Null sources are a source of their own; rows without an identifier come last in theirs. An empty table gives an
+    The order of files doesn't outlast a reread, as larger ones are read first; the two columns do. Null sources are a source of their own; rows without an identifier come last in theirs. An empty table gives an
     empty result.
     """
-    return mixing.in_order(mixing.mix(docs))
+    place = F.struct("row.*", F.col("slot").alias("mix_slot"), F.col("place").alias("mix_place"))
+    return mixing.in_order(mixing.mix(docs).withColumn("row", place))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids and decoded text of each document.
+    """doc_id, lang, source, n_tokens, ids and decoded text of each document, and mix_slot and mix_place if docs has them.
 
-    Null and empty texts have no ids. The order of the rows is that of docs. An empty table gives an empty result.
+    Null and empty texts have no ids. Sorted by mix_slot, then by mix_place, the rows are in the order of the mix. An empty table gives an empty result.
     """
     scratch.bound_batches(spark)
-    rows = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
+    mix = [c for c in ("mix_slot", "mix_place") if c in docs.columns]
+    rows = docs.select(F.struct("doc_id", "lang", "source", *mix).alias("row"), "text")
     found = bpe.encode(rows, registry.VOCABULARY)
-    return found.select("row.*", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    passed = [F.col("row").getField(c).alias(c) for c in ("doc_id", "lang", "source")]
+    return found.select(*passed, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded", *[F.col("row").getField(c).alias(c) for c in mix])
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -226,3 +226,11 @@ def test_pipeline_stages(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in got.collect()) == [0, 1, 3, 4]
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "bpe"]
+
+
+def test_pipeline_keeps_the_mix(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 7), "en", f"s{i % 3}", 9) for i in range(300)], DOCS)
+    want = [(r.row.doc_id, r.slot, r.place) for r in corpus_pipeline.mixing.mix(docs).orderBy("slot", "place").collect()]
+    corpus_pipeline.mixing_stage(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    got = corpus_pipeline.bpe_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), "")
+    assert [(r.doc_id, r.mix_slot, r.mix_place) for r in got.orderBy("mix_slot", "mix_place").collect()] == want
