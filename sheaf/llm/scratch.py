@@ -6,6 +6,7 @@ A written table cuts the lineage and survives lost executors, which cached block
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; only where that is unset (tests on one machine) a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="sheaf-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,17 +31,23 @@ def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a Parquet table of its own and returns the table as read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sheaf-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _left.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._sheaf_path = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver's heap is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes saved tables that no later plan reads."""
     for df in tables:

@@ -4,7 +4,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -46,34 +45,11 @@ def test_line_dedup(spark):
     assert got[1]._text == rows[0][1] and got[1]._removed == 0
     assert got[2]._text == "--\nother words follow" and (got[2]._lines, got[2]._removed) == (4, 2)
     assert got[3]._text == rows[2][1]
+    numbers = spark.createDataFrame([(1, "12\n7"), (2, "1999"), (3, "12 ")], "doc_id long, text string")
+    assert {r.doc_id: r._removed for r in line_dedup.dedup_lines(numbers).collect()} == {1: 0, 2: 0, 3: 1}
     assert (got[4]._text, got[4]._removed, got[4]._lines) == ("", 1, 1)
 
 
-def test_line_dedup_links_near_lines(spark):
-    rng = np.random.default_rng(1)
-    base = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(120)]
-    rows = [(0, " ".join(base))]
-    for i in range(1, 40):
-        words = list(base)
-        words[int(rng.integers(120))] = f"new{chr(97 + i % 26)}{chr(97 + i // 26)}"
-        rows.append((i, " ".join(words)))
-    sims = []
-    for _, text in rows:
-        hashes = [xxhash.xxh64_intdigest(w, 42) for w in set(text.split())]
-        sims.append(sum((sum(h >> k & 1 for h in hashes) * 2 > len(hashes)) << k for k in range(64)))
-    group = list(range(40))
-    for i in range(40):
-        for j in range(i):
-            apart = sims[i] ^ sims[j]
-            same = sum(not apart >> 16 * k & 0xFFFF for k in range(4))  # two words differ at most, of 120
-            if same >= 2 and apart.bit_count() <= line_dedup.DISTANCE:
-                x, y = group[i], group[j]
-                group = [y if g == x else g for g in group]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert got.filter("doc_id = 0").first()._removed == 0
-    assert got.agg(F.sum("_removed")).first()[0] == 40 - len(set(group)) >= 20
-
-
 def edits(x, y):
     row = list(range(len(y) + 1))
     for i, a in enumerate(x, 1):
@@ -90,7 +66,7 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, few):
     vocabulary = [chr(97 + i % 26) * (1 + i // 26) for i in range(300)]
     passage, lines = list(rng.choice(vocabulary, 8)), []
     for n in [4, 5, 6, 7, *range(8, 61, 2)]:
-        one = list(rng.choice(vocabulary, n))
+        one = list(rng.choice(vocabulary[:3] if n % 3 == 0 and n < 12 else vocabulary, n))
         if n > 12:
             one[n // 3 : n // 3 + 8] = passage
         for k in (0, 1, n // 10, n // 5, n // 5 + 1, n // 4):
@@ -99,6 +75,8 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, few):
                 other[at] = rng.choice(vocabulary)
             if k % 2:
                 other.insert(int(rng.integers(n)), other.pop(int(rng.integers(n))))
+            if k % 3 == 1:
+                other.insert(int(rng.integers(n)), "extra")
             lines.append(other)
     group = list(range(len(lines)))
     for i, x in enumerate(lines):
