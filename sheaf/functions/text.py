@@ -79,10 +79,16 @@ def first_token(c: Column, allow_cjk: bool = False) -> Column:
     return found if allow_cjk else F.when(~has_cjk(c), found)
 
 
-def value_after(c: Column, label: str) -> Column:
+def has_label(c: Column, label: Column) -> Column:
+    return F.regexp_like(c, label)
+
+
+def value_after(c: Column, label: str | Column) -> Column:
     """The identifier that follows a label on its line; a colon among the first 20 characters ends the label."""
-    rest = F.regexp_replace(F.regexp_extract(c, f"(?s)^.*?(?:{label})(.*)$", 1), "(?s)^[^:：]{0,19}[:：]", "")
-    return F.when(c.rlike(label), clean_token(missing(F.regexp_extract(strip_label(rest), TOKEN, 0))))
+    label = F.lit(label) if isinstance(label, str) else label
+    rest = F.regexp_extract_all(c, F.concat(F.lit("(?s)^.*?(?:"), label, F.lit(r")(.*)\z")), F.lit(1))
+    rest = F.regexp_replace(F.get(rest, 0), "(?s)^[^:：]{0,19}[:：]", "")
+    return F.when(has_label(c, label), clean_token(missing(F.regexp_extract(strip_label(rest), TOKEN, 0))))
 
 
 def id_from_file_name(c: Column) -> Column:
@@ -171,6 +177,15 @@ def is_chinese(c: Column) -> Column:
     return ratio_of(c, "一-鿿") >= 0.08
 
 
+def fnv1a(c: Column) -> Column:
+    """FNV-1a of 32 bits over the UTF-16 code units of a text, as hexadecimal digits, and its length in units: hash:length."""
+    raw = F.hex(F.encode(c, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(0), F.greatest(F.length(raw) / 4 - 1, F.lit(0)).cast("int")), lambda i: F.conv(F.substr(raw, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    units = F.when(F.length(raw) > 0, units).otherwise(F.array().cast("array<bigint>"))
+    mixed = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(u) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.concat_ws(":", F.lower(F.hex(mixed)), F.size(units).cast("string"))
+
+
 def garbage_line(c: Column, confidence: Column) -> Column:
     """Whether a recognised line is noise: unsure, one character over and over, or mostly signs."""
     n = F.length(c)

@@ -12,8 +12,8 @@ from sheaf.operators import layout
 TOP, LEFT, KEYWORD, ENGLISH, FIELD, DATED, LONG = 1.5, 0.3, 2.5, 0.45, 0.35, 0.6, 0.6
 
 
-def title_score(lines: Column, line: Column, page_height: Column) -> Column:
-    """How much a line looks like the title; NULL if it can't be one."""
+def title_score(line: Column, page_height: Column, top: Column, width: Column) -> Column:
+    """How much a line looks like the title; NULL if it can't be one. top and width are those of the page's lines."""
     text, box = line["text"], line["bbox"]
     t = T.trimmed(text)
     keyword = t.rlike(T.TITLE_WORDS)
@@ -29,8 +29,6 @@ def title_score(lines: Column, line: Column, page_height: Column) -> Column:
         | (~keyword & ((F.length(t) < 4) | fragment))
         | (y > 0.6)
     )
-    top = F.array_min(F.transform(lines, lambda l: l["bbox"]["y0"]))
-    width = F.array_max(F.transform(lines, lambda l: l["bbox"]["x1"]))
 
     def factor(condition: Column, value: float) -> Column:
         return F.when(condition, F.lit(value)).otherwise(F.lit(1.0))
@@ -51,16 +49,22 @@ def title_score(lines: Column, line: Column, page_height: Column) -> Column:
 
 def title_line(lines: Column, page_height: Column) -> Column:
     """Struct of score and line_no of the best line, the first of equal ones; NULL if no line can be a title."""
-    scored = F.transform(
-        lines, lambda l: F.struct(title_score(lines, l, page_height).alias("score"), (-l["line_no"]).alias("before"))
-    )
-    best = F.array_max(F.filter(scored, lambda s: s["score"].isNotNull()))
-    return F.when(best.isNotNull(), F.struct(best["score"].alias("score"), (-best["before"]).alias("line_no")))
+    extent = F.struct(F.array_min(F.transform(lines, lambda l: l["bbox"]["y0"])).alias("top"), F.array_max(F.transform(lines, lambda l: l["bbox"]["x1"])).alias("width"))
+
+    def best_of(page: Column) -> Column:
+        scored = F.transform(lines, lambda l: F.struct(title_score(l, page_height, page["top"], page["width"]).alias("score"), l["line_no"].alias("line_no")))
+        return F.reduce(
+            F.filter(scored, lambda s: s["score"].isNotNull()),
+            F.lit(None).cast("struct<score:double,line_no:int>"),
+            lambda a, s: F.when((s["score"] > a["score"]) | a.isNull(), F.struct(s["score"].cast("double").alias("score"), s["line_no"].cast("int").alias("line_no"))).otherwise(a),
+        )
+
+    return F.get(F.transform(F.array(extent), best_of), 0)  # bound by the lambda, so that it is found once a page
 
 
-def title(lines: Column, page_height: Column) -> Column:
-    """The title: the best line with Chinese lines of like size that follow on it below, then above."""
-    best = title_line(lines, page_height)
+def title(lines: Column, page_height: Column, best: Column | None = None) -> Column:
+    """The title: the best line with Chinese lines of like size that follow on it below, then above. best: its title_line."""
+    best = title_line(lines, page_height) if best is None else best
     chosen = F.get(F.filter(lines, lambda l: l["line_no"] == best["line_no"]), 0)
     size = layout.height(chosen)
 
