@@ -29,6 +29,13 @@ def build_roster(candidates: DataFrame) -> DataFrame:
     return best.select("file", F.transform("ids", lambda x: x["id"]).alias("roster"))
 
 
+def external_roster(rosters: DataFrame, files: DataFrame, pasted: str | None) -> DataFrame:
+    """rosters (file, roster), replaced for all files by a pasted list, in upper case and of any size, if it names any."""
+    given = files.select("file").distinct().withColumn("roster", F.array_distinct(F.transform(T.roster_text(F.lit(pasted)), F.upper)))
+    whole = given.join(rosters.select(F.col("file").alias("_f"), F.col("roster").alias("_r")), F.col("file").eqNullSafe(F.col("_f")), "left")
+    return whole.select("file", F.coalesce("roster", "_r").alias("roster")).filter("roster is not null")
+
+
 def expanded(roster: Column, proved: Column) -> Column:
     """The roster with further identifiers that have the shape of its first one."""
     shape = T.shape_key(F.get(roster, 0))
