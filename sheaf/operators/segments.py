@@ -93,11 +93,13 @@ def assemble(pages: DataFrame, segs: DataFrame, mode: str = "id", template: str
     if that came from no label. An output without an identifier, with a flag or, if it is a subject's, with a field of its
     archive row missing is suspect. Archives without an identifier take the file's name and page, never the title.
     """
-    inside = (segs["file"].eqNullSafe(pages["file"])) & pages["page"].between(segs["begin"], segs["end"])
-    fact = F.struct(pages["page"].alias("page"), T.missing(pages["id"]).alias("id"), T.missing(pages["title"]).alias("title"), "source", "guessed", "corrected", "off_roster", "text")
-    met = segs.join(pages, inside).select(segs["file"], "seg_no", "begin", "end", segs["id"].alias("own"), fact.alias("p"))
+    facts = {k: F.col(k) for k in ("page", "source", "guessed", "corrected", "off_roster", "text")} | {k: T.missing(F.col(k)) for k in ("id", "title")}
+    order = ("page", "id", "title", "source", "guessed", "corrected", "off_roster", "text")
+    each = pages.select(F.col("file").alias("_file"), F.col("page").alias("_page"), F.struct(*[facts[k].alias(k) for k in order]).alias("p"))
+    inside = F.col("file").eqNullSafe(F.col("_file")) & F.col("_page").between(F.col("begin"), F.col("end"))
+    met = segs.withColumnRenamed("id", "own").join(each, inside).drop("_file", "_page")
     rows = met.groupBy("file", "seg_no", "begin", "end", "own").agg(F.array_sort(F.collect_list("p")).alias("pages"))  # the pages of one document
-    rows = rows.join(segs.groupBy("file").agg(F.count(F.lit(1)).alias("n_segs")).withColumnRenamed("file", "_file"), F.col("file").eqNullSafe(F.col("_file")))
+    rows = rows.join(segs.groupBy(F.col("file").alias("_file")).agg(F.count(F.lit(1)).alias("n_segs")), F.col("file").eqNullSafe(F.col("_file")))
     rows = rows.withColumn("first", F.get(F.filter("pages", lambda p: p["id"].isNotNull() | p["title"].isNotNull()), 0))
     rows = rows.withColumns({"id": F.coalesce("own", "first.id"), "title": F.col("first.title")})
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
 from sheaf.operators import layout, pages, pagestore, roster, segments
+from sheaf.plans import documents
 from sheaf.plans.oracles import SQL
 from sheaf.sources import tables
 
@@ -58,11 +59,6 @@ def title_pick(spark: SparkSession, d: str) -> DataFrame:
     return found.filter("t is not null").select("doc_id", "t.line_no", F.round("t.score", 6).alias("score"))
 
 
-def lang_ratio(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.read(spark, d, "documents")
-    return docs.select("doc_id", F.round(T.ratio_of(F.col("text"), r"\u0080-￿"), 9).alias("ratio"))
-
-
 def cells(spark: SparkSession, d: str) -> DataFrame:
     """Orders of a customer as cells of a page, three in a row: a key on every second one, a priority on the others."""
     orders = tables.read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -129,45 +125,6 @@ def roster_impute(spark: SparkSession, d: str) -> DataFrame:
     return roster.impute(rows).select("file", "page", "imputed")
 
 
-def _classes(spark: SparkSession, d: str) -> DataFrame:
-    turns = tables.read(spark, d, "conversations")
-    kind = F.when(F.length("text") > 400, "LONG1").otherwise("SHORT1")
-    return turns.select(F.col("conv_id").alias("file"), F.col("turn").alias("page"), kind.alias("id"), F.lit(None).cast("string").alias("title"), F.lit(False).alias("listed"))
-
-
-def segments_by_class(spark: SparkSession, d: str) -> DataFrame:
-    return segments.segment_pages(_classes(spark, d))
-
-
-def segment_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Pages and characters of each segment; a join of pages with the segments of their file."""
-    cut = segments.segment_pages(_classes(spark, d))
-    turns = tables.read(spark, d, "conversations").select(F.col("conv_id").alias("file"), "turn", F.length("text").alias("n"))
-    met = cut.join(turns, (cut["file"] == turns["file"]) & turns["turn"].between(cut["begin"], cut["end"])).drop(turns["file"])
-    return met.groupBy("file", "seg_no", "id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_chars"))
-
-
-def _outputs(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as outputs: the customer's number is the identifier, with zeros before it; every 50th has none."""
-    orders = tables.read(spark, d, "orders")
-    padded = F.when(F.col("o_orderkey") % 2 == 0, F.lpad(F.col("o_custkey").cast("string"), 9, "0")).otherwise(F.col("o_custkey").cast("string"))
-    return orders.select(
-        F.col("o_orderkey").alias("out_seq"), F.when(F.col("o_orderkey") % 50 != 0, padded).alias("id"),
-        F.col("o_orderpriority").alias("source"), (F.col("o_orderstatus") == "P").alias("suspect"),
-    )
-
-
-def merge_key_groups(spark: SparkSession, d: str) -> DataFrame:
-    return segments.merge_documents(_outputs(spark, d))
-
-
-def merge_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Flags of labelled documents, or-ed by source."""
-    docs, labels = tables.read(spark, d, "documents").select("doc_id", "source"), tables.read(spark, d, "labels")
-    both = docs.join(labels, "doc_id")
-    return both.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("toxic") == 1).alias("toxic"), F.bool_and(F.col("quality") == 1).alias("good"))
-
-
 def dedupe_names(spark: SparkSession, d: str) -> DataFrame:
     parts = tables.read(spark, d, "part").select(F.col("p_partkey").alias("out_seq"), F.col("p_name").alias("name"))
     return segments.dedupe_names(parts).select("out_seq", "final_name")
@@ -188,22 +145,12 @@ def normal_dates(spark: SparkSession, d: str) -> DataFrame:
     return orders.select("o_orderkey", T.normal_date(day).alias("day"))
 
 
-def suspect_first(spark: SparkSession, d: str) -> DataFrame:
-    """How many labelled documents are of low quality and how many are not, each with the first and the last one."""
-    labels = tables.read(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("suspect"))
-    return labels.groupBy("suspect").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-
-
 def suspect_order(spark: SparkSession, d: str) -> DataFrame:
     """The place of each labelled document when those of low quality come first."""
     labels = tables.read(spark, d, "labels").select("doc_id", F.coalesce(F.col("quality") == 0, F.lit(False)).alias("suspect"))
     return segments.suspects_first(labels, "doc_id")
 
 
-def batch_summary(spark: SparkSession, d: str) -> DataFrame:
-    return segments.summary(_outputs(spark, d))
-
-
 def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return pagestore.left_to_do(tables.read(spark, d, "documents").select("doc_id", "source"), tables.read(spark, d, "labels"), ["doc_id"])
 
@@ -228,13 +175,12 @@ def retry_select(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        lines_split, token_candidates, shape_clusters, skeleton_repeats, list_page_flag, garbage_lines, title_pick, lang_ratio, right_cell,
-        below_cell, roster_build, roster_fuzzy_unique, roster_page_hits, roster_impute, segments_by_class, segment_summary, merge_key_groups,
-        merge_flags, dedupe_names, name_template, normal_dates, suspect_first, suspect_order, batch_summary, resume_antijoin, lru_files, history_top,
-        retry_select,
+        lines_split, token_candidates, shape_clusters, skeleton_repeats, list_page_flag, garbage_lines, title_pick, right_cell, below_cell,
+        roster_build, roster_fuzzy_unique, roster_page_hits, roster_impute, dedupe_names, name_template, normal_dates, suspect_order,
+        resume_antijoin, lru_files, history_top, retry_select,
     )
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in every} | documents.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: v for k, v in SQL.items() if k not in documents.SQL} | documents.SQL
