@@ -3,57 +3,66 @@
 from __future__ import annotations
 
 import heapq
-from math import floor
-
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
+from itertools import batched
+from math import lcm
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.scratch import save
 
-#: Documents in a block.
-BLOCK = 64
-#: Sources, and slots of a period; a period has room for at least GRAIN slots a source.
-MAX_SOURCES, LEAST_PERIOD, GRAIN = 20_000, 1000, 20
+#: Documents in a block at least. Larger tables have larger blocks, so that one task can schedule them: no more than MAX_BLOCKS.
+BLOCK, MAX_BLOCKS = 64, 1 << 21
+#: Sources, whose weights every task holds, and blocks whose slots are broadcast; the slots of more are joined by a shuffle.
+MAX_SOURCES, MAX_BROADCAST = 20_000, 200_000
 #: The exponent of a source's size in its default weight: small sources are met more often than their share.
 TEMPERATURE = 0.7
 
 
-def shares(weights: dict[str | None, float]) -> dict[str | None, int]:
-    """Whole blocks of each source in a period, at least one, nearest to the weights by largest remainders."""
-    if not weights:
-        return {}
-    if any(not w > 0 or w == float("inf") for w in weights.values()):
-        raise ValueError("a weight is a positive number")
-    period, total = max(LEAST_PERIOD, GRAIN * len(weights)), sum(weights.values())
-    ideal = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, floor(x)) for s, x in ideal.items()}
-    for s in sorted(ideal, key=lambda s: (floor(ideal[s]) - ideal[s], s is None, s or ""))[: max(0, period - sum(out.values()))]:
-        out[s] += 1
-    return out
-
-
-def period(blocks: dict[str | None, int]) -> list[tuple[str | None, int]]:
-    """A period's slots: which source's block, by its number within the source, is delivered in each.
-
-    With n of the T blocks of a period, block j of a source is released at floor(j T / n) and due at ceil((j + 1) T / n).
-    Of the released blocks the one with the earliest deadline goes first. Shares add up to one, so that every deadline is
-    met: before each slot t, a source has delivered more than t n / T - 1 and fewer than t n / T + 1 blocks.
-    """
-    slots = sum(blocks.values())
-    names = sorted(blocks, key=lambda s: (s is None, s or ""))
-    waiting = [(0, k, 0) for k in range(len(names))]  # release, source, block
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    out = []
-    for t in range(slots):
-        while waiting and waiting[0][0] <= t:
-            _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * slots // blocks[names[k]]), k, j))
-        due, k, j = heapq.heappop(ready)
-        assert due > t, "a deadline was missed"
-        out.append((names[k], j))
-        if j + 1 < blocks[names[k]]:
-            heapq.heappush(waiting, ((j + 1) * slots // blocks[names[k]], k, j + 1))
-    return out
+@dataclass(frozen=True)
+class Schedule:
+    """Exact weights as whole numbers, of which `total` is the sum, and the blocks that each source has."""
+
+    weights: list[int]
+    total: int
+    blocks: list[int]
+
+    @classmethod
+    def of(cls, weights: list[float], blocks: list[int]) -> Schedule:
+        if any(not 0 < w < float("inf") for w in weights):
+            raise ValueError("a weight is a positive number")
+        exact = [Fraction(w) for w in weights]
+        scale = lcm(*[w.denominator for w in exact]) if exact else 1
+        whole = [int(w * scale) for w in exact]
+        return cls(whole, sum(whole), blocks)
+
+    def delivered(self) -> Iterator[tuple[int, int, int]]:
+        """(source, block, slot) of all blocks, by slot.
+
+        Block j of a source of weight w is released at floor(j / w) and due at ceil((j + 1) / w). Of the released blocks the
+        one with the earliest deadline goes first. As the weights add up to one, every deadline is met: after any
+        number of slots t, a source that still lasts has had more than w t - 1 and fewer than w t + 1 blocks. Slots in which
+        nothing is released, as sources have ended, stay empty.
+        """
+        waiting = [(0, k, 0) for k, n in enumerate(self.blocks) if n]  # release, source, block
+        ready: list[tuple[int, int, int]] = []  # deadline, source, block
+        slot = 0
+        while waiting or ready:
+            if not ready:
+                slot = max(slot, waiting[0][0])
+            while waiting and waiting[0][0] <= slot:
+                _, k, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(j + 1) * self.total // self.weights[k]), k, j))
+            due, k, j = heapq.heappop(ready)
+            assert due > slot, "a deadline was missed"
+            yield k, j, slot
+            if j + 1 < self.blocks[k]:
+                heapq.heappush(waiting, ((j + 1) * self.total // self.weights[k], k, j + 1))
+            slot += 1
 
 
 def tempered(sizes: dict[str | None, int], temperature: float = TEMPERATURE) -> dict[str | None, float]:
@@ -90,8 +99,8 @@ def mix(
 
     A source's rows, in an order by chance (a hash of the identifier), are cut into blocks; slot says when a block is
     delivered, place where a row is within it. Up to any slot, the blocks of each source that still lasts differ by
-    less than one from its share of the slots. No row is dropped or repeated: the slots of a source that has ended
-    stay empty, by which the others keep their proportions among each other.
+    less than one from its weight's share of the slots, however many there are. No row is dropped or repeated: the slots of a
+    source that has ended stay empty, by which the others keep their proportions among each other.
 
     weights: for each source; others, and all by default, get their number of rows to the power TEMPERATURE, put so
     that given weights are shares of one. A null source is a source of its own. Null identifiers come last in their
@@ -109,19 +118,31 @@ def mix(
         raise ValueError("the weights leave nothing for sources without one")
     whole = sum(rest.values())
     target = given | {s: w * left / whole for s, w in rest.items()}
-    plan = shares(target)
-    slots = [(s, j, t, plan[s]) for t, (s, j) in enumerate(period(plan))]
-    table = docs.sparkSession.createDataFrame(slots, "s string, j long, t long, n long")  # at most GRAIN MAX_SOURCES rows
-
-    chance = [F.col("doc_id").isNull(), F.xxhash64("doc_id"), F.col("doc_id")]
-    numbered = _numbered(rows, chance).withColumn("block", F.floor(F.col("index") / block))
-    counts = F.broadcast(table.select("s", "n").distinct())
-    numbered = numbered.join(counts, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    numbered = numbered.withColumn("j", F.col("block") % F.col("n"))
-    table = F.broadcast(table.select("s", F.col("j").alias("k"), "t"))
-    placed = numbered.join(table, F.col("source").eqNullSafe(F.col("s")) & (F.col("j") == F.col("k")))
-    slot = F.floor(F.col("block") / F.col("n")) * len(slots) + F.col("t")
-    return placed.select("row", "source", "index", "block", slot.alias("slot"), (F.col("index") % block).cast("int").alias("place"))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    block = max(block, -(-sum(sizes.values()) // MAX_BLOCKS))
+    plan = Schedule.of([target[s] for s in names], [-(-sizes[s] // block) for s in names])
+    table = _slots(docs.sparkSession, names, plan)
+    if sum(plan.blocks) <= MAX_BROADCAST:
+        table = F.broadcast(table)
+
+    by = F.when(F.col("doc_id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("doc_id"))
+    numbered = _numbered(rows, [F.col("doc_id").isNull(), by, F.col("doc_id")]).withColumn("block", F.floor(F.col("index") / block))
+    placed = numbered.join(table, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("j")))
+    return placed.select("row", "source", "index", "block", "slot", (F.col("index") % block).cast("int").alias("place"))
+
+
+def _slots(spark: SparkSession, names: list[str | None], plan: Schedule) -> DataFrame:
+    """s, j, slot for each block; one task schedules them, as each slot depends on the one before."""
+    shared = spark.sparkContext.broadcast((names, plan))  # MAX_SOURCES names and numbers at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, plan = shared.value
+        for _ in batches:
+            for found in batched(plan.delivered(), 50_000):
+                arrays = [pa.array([names[k] for k, _, _ in found], pa.string()), *[pa.array([x[i] for x in found], pa.int64()) for i in (1, 2)]]
+                yield pa.RecordBatch.from_arrays(arrays, ["s", "j", "slot"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "s string, j long, slot long")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -95,16 +95,19 @@ def test_line_dedup_of_little(spark, rows):
     assert all(r._text == ("a" if r.doc_id else None) for r in got)
 
 
-def test_period_is_fair():
-    rng = np.random.default_rng(2)
-    for k in (1, 2, 7, 30):
-        plan = mixing.shares({f"s{i}": float(w) for i, w in enumerate(rng.random(k) ** 3 + 1e-6)})
-        slots, sent = sum(plan.values()), Counter()
-        for t, (s, j) in enumerate(mixing.period(plan)):
-            assert j == sent[s]
-            sent[s] += 1
-            assert all(abs(sent[x] * slots - (t + 1) * n) < slots for x, n in plan.items())
-        assert sent == plan
+@pytest.mark.parametrize("weights", [[0.70007, 0.2, 0.09988, 0.00005], [1.0], [0.3, 0.3, 0.4], [2**-k for k in range(1, 12)], [1e-6, 1.0, 3.3]])
+def test_schedule_follows_the_weights(weights):
+    """Less than one block from the target weights after each of 100,000 slots, with and without a source that ends."""
+    for blocks in ([10**9] * len(weights), [10**9 if k else 40 for k in range(len(weights))]):
+        plan, sent, last = mixing.Schedule.of(weights, blocks), [0] * len(weights), -1
+        for k, j, t in plan.delivered():
+            assert t > last and j == sent[k]
+            for other in range(len(weights)) if t % 50 == 0 else (k,):
+                if sent[other] < blocks[other]:
+                    assert abs(sent[other] * plan.total - t * plan.weights[other]) < plan.total
+            sent[k], last = sent[k] + 1, t
+            if t >= 100_000:
+                break
 
 
 def test_mix_keeps_all_rows(spark):
@@ -113,6 +116,11 @@ def test_mix_keeps_all_rows(spark):
     got = mixing.mix(docs, {"big": 0.5}, block=4).collect()
     assert sorted((r.row.doc_id is None, r.row.doc_id, str(r.source)) for r in got) == sorted((i is None, i, str(s)) for i, s in rows)
     assert len({(r.slot, r.place) for r in got}) == len(rows)
+    shares = {s: n for s, n in Counter(r.source for r in got).items() if s != "big"}
+    whole = sum(n**mixing.TEMPERATURE for n in shares.values())
+    for r in got:  # a block's slot is between its release and its deadline
+        w = 0.5 if r.source == "big" else 0.5 * shares[r.source] ** mixing.TEMPERATURE / whole
+        assert r.block / w - 1.001 < r.slot < (r.block + 1) / w + 0.001
     by = {}
     for r in got:
         by.setdefault(r.source, []).append(r["index"])
