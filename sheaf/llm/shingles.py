@@ -8,9 +8,6 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 #: Texts are hashed in pieces of about so many bytes, cut at white space.
 PIECE = 1 << 20
-_POWERS = np.full(4096, 0x9E3779B97F4A7C15 | 1, np.uint64)
-_POWERS[0] = 1
-_POWERS = np.multiply.accumulate(_POWERS)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,10 +28,8 @@ def _hash_piece(data: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     sizes = ends - starts
     offset = np.arange(len(data)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(data)]])))
-    value = data.astype(np.uint64) + np.uint64(1)
-    value *= _POWERS[offset & 4095]
-    if len(data) > 4096 and sizes.max() > 4096:
-        value = mix(value + (offset >> 12).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    # a word is the sum of strong hashes of its bytes with their places; a polynomial modulo 2**64 has equal words by construction
+    value = mix(data.astype(np.uint64) + (offset.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     value[blank] = 0
     return mix(np.add.reduceat(value, starts) + mix(sizes.astype(np.uint64)))
 
