@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,21 +88,32 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
             yield "phone", *m.span()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that pass mod 97; words in capitals that follow may have been taken along, and are looked at again."""
+    m = _IBAN.search(text)
+    while m:
+        a, b = m.span()
+        last = b
+        while b - a > 15 and not mod97(text[a:b].replace(" ", "")):
+            b = text.rfind(" ", a, b)
+        if b - a >= 15 and mod97(text[a:b].replace(" ", "")):
+            yield a, b
+            last = b
+        else:
+            last = min(last, a + 5)  # beyond the country and its digits, so that a later beginning isn't lost
+        m = _IBAN.search(text, last)
+
+
 def _added(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     """Kinds beyond the base; they give way to base spans that they overlap."""
     if not _DIGIT.search(text):
         return
-    for kind, pattern in (("iban", _IBAN), ("ssn", _SSN)):
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if kind == "iban":
-                while b - a > 15 and not mod97(text[a:b].replace(" ", "")):
-                    b = text.rfind(" ", a, b)  # a following word in capitals may have been taken along
-                    if b < 0:
-                        break
-                if b - a < 15 or not mod97(text[a:b].replace(" ", "")):
-                    continue
-            if not any(x < b and a < y for _, x, y in taken):
+    taken = sorted((a, b) for _, a, b in taken)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    for kind, spans in (("iban", _ibans(text)), ("ssn", (m.span() for m in _SSN.finditer(text)))):
+        for a, b in spans:
+            before = bisect_left(starts, b)  # spans that begin before the end; one of them may reach beyond the start
+            if not before or reach[before - 1] <= a:
                 yield kind, a, b
 
 
@@ -124,7 +137,8 @@ def find_spans(text: str | None) -> list[Span]:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, spans (array of kind, start, end, score).
 
-    A null or empty text has no spans; identifiers may be null or repeat; other columns are ignored.
+    A null or empty text has no spans; identifiers may be null or repeat; other columns are ignored. An empty table gives
+    an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
