@@ -106,9 +106,6 @@ SELECT doc_id, line_no, CASE WHEN conf < 0.55 THEN NOT (regexp_matches(line, '^[
   ELSE (length(line) >= 3 AND NOT regexp_matches(line, '[0-9]') AND most * 2 > length(line))
     OR (length(line) >= 6 AND length(regexp_replace(line, '[^0-9A-Za-z一-鿿]', '', 'g')) < length(line) * 0.7) END AS garbage FROM m""",
     "title_pick": "WITH " + _TITLE,
-    "lang_ratio": r"""
-SELECT doc_id, round(length(regexp_replace(text, '[\x00-\x7f]', '', 'g')) / greatest(length(regexp_replace(text, '[\s\x{00a0}\x{3000}]', '', 'g')), 1), 9) AS ratio
-FROM documents""",
     "right_cell": f"""
 WITH {_CELLS} SELECT a.o_custkey, a.k AS label_key, b.id AS value FROM c a JOIN c b USING (o_custkey)
 WHERE a.k <> b.k AND b.id IS NOT NULL AND abs(a.y0 - b.y0) < 16 * 0.8 AND b.x0 > a.x0 + 10
@@ -135,14 +132,6 @@ WITH t AS (SELECT DISTINCT conv_id AS file, turn AS page FROM conversations),
 n AS (SELECT file, page, row_number() OVER (PARTITION BY file ORDER BY page) - 1 AS place FROM t)
 SELECT file, page, CASE WHEN page % 3 = 1 AND count(*) FILTER (page % 3 <> 1) OVER (PARTITION BY file) >= 3
        THEN 'T' || lpad(page::VARCHAR, 4, '0') END AS imputed FROM n""",
-    "segments_by_class": f'WITH {_SEGMENTS} SELECT file, seg_no, min(page) AS "begin", max(page) AS "end", id FROM i GROUP BY file, seg_no, id',
-    "segment_summary": f"WITH {_SEGMENTS} SELECT file, seg_no, id, count(*) AS n_pages, sum(n) AS n_chars FROM i GROUP BY ALL",
-    "merge_key_groups": f"""
-WITH {_OUTPUTS} SELECT CASE WHEN id IS NULL THEN '' ELSE o_custkey::VARCHAR END AS key, min(out_seq) AS out_seq, arg_min(id, out_seq) AS id, count(*) AS n,
-  bool_or(suspect) AS suspect, string_agg(source, ' + ' ORDER BY out_seq) AS sources
-FROM o GROUP BY CASE WHEN id IS NULL THEN '' ELSE o_custkey::VARCHAR END, CASE WHEN id IS NULL THEN out_seq END""",
-    "merge_flags": """
-SELECT source, count(*) AS n, bool_or(toxic = 1) AS toxic, bool_and(quality = 1) AS good FROM documents JOIN labels USING (doc_id) GROUP BY ALL""",
     "dedupe_names": """
 WITH n AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)
 SELECT p_partkey AS out_seq, CASE WHEN k > 1 THEN p_name || '_' || k ELSE p_name END AS final_name FROM n""",
@@ -150,11 +139,8 @@ SELECT p_partkey AS out_seq, CASE WHEN k > 1 THEN p_name || '_' || k ELSE p_name
 SELECT o_orderkey, c_name || CASE WHEN o_orderkey % 3 <> 0 THEN '_' || c_mktsegment ELSE '' END || '_' || o_orderpriority AS name
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "normal_dates": "SELECT o_orderkey, CASE WHEN year(o_orderdate) % 100 < 10 THEN (year(o_orderdate) % 100)::VARCHAR ELSE strftime(o_orderdate, '%y') END || strftime(o_orderdate, '%m%d') AS day FROM orders",
-    "suspect_first": "SELECT quality = 0 AS suspect, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM labels GROUP BY ALL",
     "suspect_order": """
 SELECT doc_id, coalesce(quality = 0, false) AS suspect, row_number() OVER (ORDER BY coalesce(quality = 0, false) DESC, doc_id) AS place FROM labels""",
-    "batch_summary": f"""
-WITH {_OUTPUTS} SELECT count(*) AS total, count(id) AS animals, count(*) - count(id) AS unidentified, 0::BIGINT AS docs, count(*) FILTER (suspect) AS suspects FROM o""",
     "resume_antijoin": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "lru_files": "SELECT user_id AS file FROM events GROUP BY user_id ORDER BY max(ts) DESC, user_id LIMIT 6",
     "history_top": "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",

@@ -183,4 +183,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in SQL.items() if k not in documents.SQL} | documents.SQL
+    return SQL | documents.SQL

@@ -82,7 +82,9 @@ def test_names_and_merging(spark):
     names = spark.createDataFrame([(i, n) for i, n in enumerate("XYXX")], "out_seq int, name string")
     assert [r.final_name for r in segments.dedupe_names(names).orderBy("out_seq").collect()] == ["X", "Y", "X_2", "X_3"]
     outs = spark.createDataFrame([(0, "007", "a", False), (1, None, "b", True), (2, "7", "c", True), (3, None, "d", False)], "out_seq int, id string, source string, suspect boolean")
-    got = [(r.id, r.n, r.suspect, r.sources) for r in segments.merge_documents(outs).orderBy("out_seq").collect()]
+    no = F.lit(False)
+    outs = outs.withColumns({"new_name": F.col("source"), "page_range": F.lit("1-1"), "debug": F.lit(None).cast("array<string>"), "guessed": no, "corrected": no, "off_roster": no, "low_conf": no})
+    got = [(r.id, r.n, r.suspect, r.source) for r in segments.merge_documents(outs).orderBy("out_seq").collect()]
     assert got == [("007", 2, True, "a + c"), (None, 1, True, "b"), (None, 1, False, "d")]
 
 
