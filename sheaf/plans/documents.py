@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
 from sheaf.operators import archive, imaging, layout, pageinfo, pages, pagestore, roster, segments
+from sheaf.plans.oracles import _ROSTER
 from sheaf.sinks import files
 from sheaf.sources import tables, textlayer
 
@@ -496,3 +497,28 @@ def page_signs(spark: SparkSession, d: str) -> DataFrame:
     return tables.read(spark, d, "part").select(
         "p_partkey", pages.species(text).alias("species"), seen.alias("seen"), pages.is_column_header(F.lit(False), k % 2 == 0, F.lit(4), seen).alias("header")
     )
+
+
+@checked(f"""WITH {_ROSTER}, e AS (SELECT s_suppkey, file, id AS bare, CASE WHEN s_suppkey % 2 = 0 THEN id || 'N' ELSE id END AS id,
+    CASE s_suppkey % 3 WHEN 0 THEN 'label' WHEN 1 THEN 'pool' ELSE 'fallback' END AS source, s_suppkey % 4 AS ev FROM s),
+x AS (SELECT s_suppkey, count(*) > 0 AS listed, bool_or(u.v = e.id) AS member, max(CASE WHEN u.v = bare THEN u.v END) AS stripped,
+    count(*) FILTER (abs(length(u.v) - length(e.id)) <= 2 AND levenshtein(u.v, e.id) <= 2) AS n,
+    max(u.v) FILTER (abs(length(u.v) - length(e.id)) <= 2 AND levenshtein(u.v, e.id) <= 2) AS near
+  FROM e JOIN r USING (file), unnest(r.roster) AS u(v) GROUP BY s_suppkey),
+m AS (SELECT e.*, coalesce(x.listed, false) AS listed, coalesce(x.member, false) OR EXISTS (SELECT 1 FROM e p WHERE p.file = e.file AND p.id = e.id AND p.source = 'label' AND p.ev >= 2 AND p.s_suppkey % 2 = 1) AS member,
+    coalesce(stripped, CASE WHEN n = 1 THEN near END) AS match FROM e LEFT JOIN x USING (s_suppkey))
+SELECT s_suppkey AS page, CASE WHEN NOT listed OR member THEN id WHEN match IS NOT NULL THEN match WHEN source = 'label' THEN id END AS id,
+  listed AND NOT member AND match IS NOT NULL AS corrected, listed AND NOT member AND match IS NULL AND source = 'label' AND ev >= 1 AS off_roster FROM m""")
+def roster_policy(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers' keys, half of them misread, held against the roster of their nation: kept, corrected, dropped or marked."""
+    people = tables.read(spark, d, "customer").select(
+        F.col("c_nationkey").alias("file"), F.ascii("c_mktsegment").cast("long").alias("page"), F.col("c_custkey").alias("seq"), F.concat(F.lit("B"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("id")
+    )
+    k = F.col("s_suppkey")
+    key = F.concat(F.lit("B"), F.lpad((k * 13 % 1500).cast("string"), 6, "0"), F.when(k % 2 == 0, "N").otherwise(""))
+    none = F.array().cast("array<string>")
+    found = tables.read(spark, d, "supplier").select(
+        F.col("s_nationkey").alias("file"), k.alias("page"), F.lit(None).cast("string").alias("title"), key.alias("id"),
+        F.when(k % 3 == 0, "label").when(k % 3 == 1, "pool").otherwise("fallback").alias("source"), (k % 4).alias("evidence"), none.alias("alts"), none.alias("candidates"),
+    )
+    return roster.correct(found, roster.build_roster(people)).select("page", "id", "corrected", "off_roster")
