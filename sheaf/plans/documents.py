@@ -400,12 +400,12 @@ def rects(spark: SparkSession, d: str) -> DataFrame:
     return imaging.rects(boxes).select("page", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@checked("""WITH t AS (SELECT l_orderkey, l_discount * 10 AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS k FROM lineitem)
-SELECT l_orderkey AS page, count(*) >= 3 AND count_if(p > 0.9 - 0.6) >= 3 AND count_if(p > 0.9 - 0.6) * 2 > count(*) AS inverted FROM t WHERE k <= 8 GROUP BY l_orderkey""")
+@checked("""WITH t AS (SELECT l_orderkey, l_discount AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem)
+SELECT l_orderkey AS page, count(*) >= 3 AND count_if(p > 0.035) >= 3 AND count_if(p > 0.035) * 2 > count(*) AS inverted FROM t WHERE k <= 8 GROUP BY l_orderkey""")
 def inverted_pages(spark: SparkSession, d: str) -> DataFrame:
     """Orders as pages whose lines vote on the direction."""
-    p = F.when(F.col("l_discount") * 10 > 0.9 - 0.6, 0.95).otherwise(0.5)
-    crops = tables.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("box_no"), F.col("l_quantity").alias("height"), F.lit(0.4).alias("p0"), p.alias("p180"))
+    p = F.when(F.col("l_discount") > 0.035, 0.95).otherwise(0.5)
+    crops = tables.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("box_no"), F.col("l_quantity").alias("height"), F.lit(0.4).alias("p0"), p.alias("p180"))
     return imaging.inverted(crops)
 
 
@@ -455,7 +455,7 @@ def text_rules(spark: SparkSession, d: str) -> DataFrame:
     """Cleaning of titles, lines that are fields, values after bilingual labels, identifiers of file names, titles that mean the same."""
     k = F.col("p_partkey")
     title = F.concat(F.when(k % 2 == 0, " a:").otherwise(" a*"), F.when(k % 3 == 0, "中").otherwise("b"), F.lit("!!_"))
-    label = F.concat(F.lit("动物编号/Animal No.："), F.lit("B"), F.lpad(k.cast("string"), 3, "0"))
+    label = F.concat(F.lit("动物编号/Animal No.："), F.lit("B"), F.lpad(k.cast("string"), 9, "0"))
     value = F.concat(F.lit("B"), F.regexp_replace(F.regexp_replace(T.value_after(label, "动物编号"), "^B", ""), "^0+", ""))
     name = F.concat(F.lit("T"), k.cast("string"), F.lit(".PDF"))
     short = F.when(k >= 1000, T.id_from_file_name(name))
