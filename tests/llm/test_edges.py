@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from sheaf.llm import ann, bpe, line_dedup, minhash, pii, ppm, registry, shingles, toxicity, url_filter
 
-LONG = "word " * 30_000 + "x" * 200_000
+LONG = "word " * 10_000 + "x" * 50_000
 TEXTS = ["a b c d e f g", "a b c d e f g", None, "", " \t\n", LONG, "ÄÖ ñ 日本", "a b c d e f g"]
 EXTRA = ("row", "gone", "_lines", "_gone", "n", "x.y", "slot", "score", "rank", "host", "component", "mix_slot")
 
