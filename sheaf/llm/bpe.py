@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = re.compile(f"[{SPACE}]+")
 #: Bytes of text that are encoded together, and words that a generation of the cache holds.
-PIECE, CACHED = 8 << 20, 400_000
+PIECE, CACHED = 8 << 20, 100_000
 
 # What the library's Unicode tables have beyond those of Python (15.1): letters and numbers of Unicode 16.
 LETTERS_16 = [

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -175,3 +176,29 @@ def test_digests_are_of_ids_and_text(spark):
     row = bpe.encode_documents(df, registry.VOCABULARY, digests=True).first()
     found = Tokenizer.from_file(registry.VOCABULARY).encode("Hello World", add_special_tokens=False).ids
     assert row.n_tokens == len(found) and row.ids_sha256 == hashlib.sha256(np.array(found, "<u4").tobytes()).hexdigest()
+
+
+def test_score_of_a_text_does_not_depend_on_others():
+    rng = np.random.default_rng(4)
+    texts = [[b"w%d" % k for k in rng.integers(0, 4000, n)] for n in rng.integers(0, 40, 1500)]
+    params = toxicity.Network.new().params
+    params["in"] = params["in"] * 8
+
+    def scores(some):
+        return toxicity.Network(params).score(some)
+
+    together, turned = scores(texts), scores(texts[::-1])[::-1]
+    alone = np.concatenate([scores([t]) for t in texts])
+    assert (together == alone).all() and (together == turned).all()
+
+
+def test_features_by_slices():
+    items = [b"word%d" % k for k in range(60_000)]
+    tracemalloc.start()
+    found = toxicity.features(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * sum(x.nbytes for x in found)
+    some = items[:101]
+    for x, y in zip(toxicity.features(some, 7), toxicity.features(some), strict=True):
+        assert (x == y).all()
