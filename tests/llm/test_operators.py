@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sheaf.llm import ann, bpe, exact_dedup, line_dedup, mixing, pii, registry, toxicity, url_filter
+from sheaf.llm import ann, bpe, exact_dedup, line_dedup, mixing, pii, registry, scratch, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = "doc_id long, text string, row string, gone int, _lines int, n long, source string"
@@ -220,3 +221,42 @@ def test_pipeline_keeps_the_mix(spark, tmp_path):
     corpus_pipeline.mixing_stage(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
     got = corpus_pipeline.bpe_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), "")
     assert [(r.doc_id, r.mix_slot, r.mix_place) for r in got.orderBy("mix_slot", "mix_place").collect()] == want
+
+
+def test_lines_that_only_share_a_phrase_do_not_meet(spark):
+    rng = random.Random(8)
+    phrase = "ash birch cedar elm fir oak"
+    lines = [" ".join([*("".join(rng.choices("abcdefgh", k=12)) for _ in range(n)), phrase]) for n in (4, 14, 34, 74)]
+    rows = [(i, t) for i, t in enumerate([*lines, lines[2] + " yew"])]
+    nodes = line_dedup._nodes(line_dedup._lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    met = line_dedup._members(nodes, line_dedup.PERCENT).select("id").distinct().join(nodes, "id")
+    assert {r.n for r in met.collect()} == {40, 41}
+
+
+@pytest.mark.parametrize("percent", [70, 75, 80, 90, 100])
+def test_lines_of_all_lengths_meet(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for n in [*range(2, 34), 60]:
+        most = n * (100 - percent) // 100
+        line = ["".join(rng.choices("abcdefgh", k=12)) for _ in range(n)]
+        other = list(line)
+        for k in rng.sample(range(n), most):
+            other[k] = f"x{line[k]}"
+        rows += [(n, " ".join(line)), (n, " ".join(other))]
+        if most and (n + 1) * (100 - percent) // 100 >= 1:
+            rows.append((n, " ".join([*line[: n // 2], "new", *line[n // 2 :]])))
+    docs = spark.createDataFrame([(i, t, n) for i, (n, t) in enumerate(rows)], "doc_id long, text string, n long")
+    got = {r.n: r.kept for r in line_dedup.dedup_lines(docs, percent=percent).groupBy("n").agg(F.sum(1 - F.col("_removed")).alias("kept")).collect()}
+    assert set(got.values()) == {1}
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    def kept():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).getName().endswith(".data") for i in range(files.size()))
+
+    before, table = kept(), spark.range(1000).repartition(3, "id")
+    saved = scratch.save(table, "test")
+    assert kept() == before and saved.count() == table.count() == 1000
+    scratch.drop(saved)
