@@ -225,7 +225,7 @@ def test_pipeline_keeps_the_mix(spark, tmp_path):
 
 def test_lines_that_only_share_a_phrase_do_not_meet(spark):
     rng = random.Random(8)
-    phrase = "ash birch cedar elm fir oak"
+    phrase = "ashenwoodgroves birchwoodgroves cedarwoodgroves elderwoodgroves hazelwoodgroves maplewoodgroves"
     lines = [" ".join([*("".join(rng.choices("abcdefgh", k=12)) for _ in range(n)), phrase]) for n in (4, 14, 34, 74)]
     rows = [(i, t) for i, t in enumerate([*lines, lines[2] + " yew"])]
     nodes = line_dedup._nodes(line_dedup._lines(spark.createDataFrame(rows, "doc_id long, text string")))
