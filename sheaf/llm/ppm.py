@@ -2,6 +2,9 @@
 
 A word's first HEAD bytes are expected after the end of the word before, byte by byte; its rest is then taken as one
 symbol of what followed this beginning, or, by an escape, byte by byte again.
+
+All contexts of the training documents count, however rare. Contexts of up to ROOT bytes are broadcast; longer ones are dealt
+out by their last ROOT + 1 bytes, and every symbol is scored where the contexts are that it can meet.
 """
 
 from __future__ import annotations
@@ -16,16 +19,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.scratch import drop, save
 
 #: Longest context in bytes. A context doesn't reach beyond the last TAIL bytes of the word before.
 ORDER, HEAD, TAIL = 7, 4, 3
-#: Sequences, beginnings and words rarer than this share of all are left to shorter contexts, or to a join. At most
-#: 1 / share of each kind can reach it, which bounds what is broadcast, at every size of the corpus.
-LEAST_SHARE = 2.0**-21
+#: Contexts of up to so many bytes are broadcast: there are at most 256 to that power, whatever the corpus.
+ROOT = 2
+#: Scores of beginnings and words rarer than this share of all are joined with the documents; at most 1 / share of either
+#: can reach it, which bounds what is broadcast. Both ways give the same scores.
+CODE_SHARE = 2.0**-21
 WORD_SHARE = 2.0**-20
 #: Longer words are never in the broadcast table.
 LONGEST = 64
@@ -125,6 +130,11 @@ def of_rests(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, np.minimum(place, ORDER), owner
 
 
+def places_of(grams: np.ndarray) -> np.ndarray:
+    """The lengths of the contexts: no byte of a sequence is zero."""
+    return sum((grams >> np.uint64(8 * k) > 0).astype(np.int64) for k in range(1, ORDER + 1))
+
+
 @dataclass
 class Level:
     """Counts of symbols after contexts of one length, and what escapes and exclusions need."""
@@ -153,21 +163,24 @@ class Trie:
     levels: list[Level]
 
     @classmethod
-    def of(cls, length: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> Trie:
-        levels: list[Level] = []
-        for k in range(ORDER + 1):
-            mine = np.flatnonzero(length == k)
-            mine = mine[np.argsort(grams[mine])]
-            g, c = grams[mine], counts[mine].astype(np.int64)
+    def of(cls, grams: np.ndarray, counts: np.ndarray, lengths: range, shorter: list[Level] | None = None) -> Trie:
+        """Contexts of these lengths after those of `shorter`, from the longest sequence at each symbol."""
+        levels = list(shorter or [])
+        seen = counts > 0
+        longest, weights, places = grams[seen], counts[seen], places_of(grams[seen])
+        for k in lengths:
+            mine = places >= k
+            g, which = np.unique(longest[mine] & _low(k + 1), return_inverse=True)
+            c = np.bincount(which, weights[mine], len(g)).astype(np.int64)
             contexts, at = np.unique(g >> np.uint64(8), return_inverse=True)
             totals = np.bincount(at, c, len(contexts)).astype(np.int64)
             kinds = np.bincount(at, minlength=len(contexts))
             rest_totals, rest_kinds = np.zeros_like(totals), np.zeros_like(kinds)
-            if k and len(g):  # what is frequent enough with a longer context is so with a shorter one
+            if k and len(g):  # what follows a longer context follows a shorter one
                 less = levels[-1]
                 taken = np.bincount(at, less.counts[_find(less.grams, g & _low(k))], len(contexts)).astype(np.int64)
-                shorter = _find(less.contexts, contexts & _low(k - 1))
-                rest_totals, rest_kinds = less.totals[shorter] - taken, less.kinds[shorter] - kinds
+                back = _find(less.contexts, contexts & _low(k - 1))
+                rest_totals, rest_kinds = less.totals[back] - taken, less.kinds[back] - kinds
             levels.append(Level(g, c, contexts, totals, kinds, rest_totals, rest_kinds))
         return cls(levels)
 
@@ -207,14 +220,6 @@ class Trie:
         out[open_] -= log10(256 - seen) if seen < 256 else 0.0
         return out
 
-    def score_beginnings(self, codes: np.ndarray) -> np.ndarray:
-        code, place, owner = of_beginnings(codes)
-        return np.bincount(owner, self.score(code, place), len(codes))
-
-    def score_rests(self, words: pa.Array) -> np.ndarray:
-        code, place, owner = of_rests(words)
-        return np.bincount(owner, self.score(code, place), len(words))
-
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about PIECE bytes of text, of one row at least."""
@@ -232,7 +237,7 @@ def _summed(words: list[pa.Array], counts: list[np.ndarray]) -> tuple[pa.Array,
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """word, code, c: occurrences of words (b"" for ends of texts) and of beginnings in training documents."""
+    """word, code, c: all words (b"" for ends of texts) and beginnings, and how often they occur in training documents."""
 
     def batches_of(word: pa.Array, code: pa.Array, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(c), 50_000):
@@ -254,14 +259,16 @@ def _counted(docs: DataFrame) -> DataFrame:
 
         for whole in batches:
             for batch in _pieces(whole):
-                learnt = pa.array([not held_out(d) for d in batch.column(0).to_pylist()], pa.bool_())
-                found, lengths = tokenised(batch.column(1).filter(learnt))
-                texts += len(lengths)
-                encoded = found.dictionary_encode()
-                words[0].append(encoded.dictionary)
-                words[1].append(np.bincount(encoded.indices.to_numpy(), minlength=len(encoded.dictionary)))
-                for x, y in zip(codes, np.unique(beginnings(found, lengths), return_counts=True), strict=True):
-                    x.append(y)
+                hidden = np.array([held_out(d) for d in batch.column(0).to_pylist()], bool)
+                texts += int((~hidden).sum())
+                for mine, weight in ((~hidden, 1), (hidden, 0)):
+                    found, lengths = tokenised(batch.column(1).filter(pa.array(mine)))
+                    encoded = found.dictionary_encode()
+                    words[0].append(encoded.dictionary)
+                    words[1].append(weight * np.bincount(encoded.indices.to_numpy(), minlength=len(encoded.dictionary)))
+                    begun, c = np.unique(beginnings(found, lengths), return_counts=True)
+                    codes[0].append(begun)
+                    codes[1].append(weight * c)
                 if sum(map(len, codes[0])) > 2_000_000 or sum(map(len, words[0])) > 1_000_000:
                     yield from flush()
         yield from flush()
@@ -270,191 +277,223 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, code long, c long").groupBy("word", "code").agg(F.sum("c").alias("c"))
 
 
-def _sequence_counts(counted: DataFrame) -> DataFrame:
-    """rest, k, gram, c: the longest sequence at each symbol, with the length of its context.
+def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows word, code, c, h: whether it is a rest, the longest sequence at each symbol, what it counts, and whose it is.
 
     Beginnings count as often as they occur. The rest of a word counts once, as it is only spelt when it is new.
     """
+    for whole in batches:
+        for at in range(0, whole.num_rows, 50_000):
+            batch = whole.slice(at, 50_000)
+            is_code = batch.column(1).is_valid()
+            of_codes, of_words = batch.filter(is_code), batch.filter(pc.invert(is_code))
+            codes = of_codes.column(1).to_numpy().astype(np.int64)
+            code, _, owner = of_beginnings(codes.view(np.uint64))
+            yield False, code, of_codes.column(2).to_numpy()[owner], codes[owner]
+            code, _, owner = of_rests(of_words.column(0))
+            yield True, code, (of_words.column(2).to_numpy() > 0)[owner].astype(np.int64), of_words.column(3).to_numpy()[owner]
+
+
+def _roots(counted: DataFrame) -> dict[bool, list[Level]]:
+    """The contexts of up to ROOT bytes, of beginnings and of rests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 50_000):
-                batch = whole.slice(at, 50_000)
-                is_code = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
-                c = batch.column(2).to_numpy()
-                codes = batch.column(1).filter(pa.array(is_code)).to_numpy().astype(np.int64).view(np.uint64)
-                words = batch.column(0).filter(pa.array(~is_code))
-                parts = []
-                once = np.ones(len(words), np.int64)
-                for rest, (code, place, owner), weight in ((0, of_beginnings(codes), c[is_code]), (1, of_rests(words), once)):
-                    for k in range(ORDER + 1):
-                        mine = place == k
-                        grams, which = np.unique(code[mine] & _low(k + 1), return_inverse=True)
-                        n = np.bincount(which, weight[owner[mine]], len(grams))
-                        parts.append((np.full(len(grams), rest), np.full(len(grams), k), grams, n))
-                rest, k, gram, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                arrays = [pa.array(rest > 0), pa.array(k.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["rest", "k", "gram", "c"])
-
-    found = counted.mapInArrow(run, "rest boolean, k int, gram long, c long")
-    return found.groupBy("rest", "k", "gram").agg(F.sum("c").alias("c"))
-
-
-def train(counted: DataFrame, share: float = LEAST_SHARE) -> tuple[Trie, Trie]:
-    """Tries for beginnings and for rests, of the sequences that make up at least `share` of the symbols of either.
-
-    Each has at most 1 / share sequences for each length of context up to ORDER.
+        found: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
+
+        def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            grams, which = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            return grams, np.bincount(which, np.concatenate([c for _, c in parts]), len(grams)).astype(np.int64)
+
+        for rest, code, c, _ in _spelt(batches):
+            found[rest] = [summed([*found[rest], (code & _low(ROOT + 1), c)])]
+        for rest, parts in found.items():
+            for grams, c in parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), rest)), pa.array(grams.view(np.int64)), pa.array(c)], ["rest", "gram", "c"])
+
+    rows = counted.mapInArrow(run, "rest boolean, gram long, c long").groupBy("rest", "gram").agg(F.sum("c").alias("c")).toArrow()
+    rest, gram, c = rows["rest"].to_numpy(), rows["gram"].to_numpy().view(np.uint64), rows["c"].to_numpy()
+    return {kind: Trie.of(gram[rest == kind], c[rest == kind], range(ROOT + 1)).levels for kind in (False, True)}
+
+
+def _scored(counted: DataFrame) -> DataFrame:
+    """rest, h, s: log10 of the probability of each beginning (h is its code) and of the rest of each word (h is its hash), byte by byte.
+
+    A symbol goes where all contexts that end in the same ROOT + 1 bytes are: the longer ones that it can meet are there, the
+    shorter ones everywhere.
     """
-    longest = save(_sequence_counts(counted), "sequences")
-    rows = longest.select("rest", "gram", "c", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("k"))
-    shorter = F.expr(f"IF(k = {ORDER}, gram, gram & (shiftleft(1L, 8 * (k + 1)) - 1))")
-    counts = rows.select("rest", "k", shorter.alias("gram"), "c").groupBy("rest", "k", "gram").agg(F.sum("c").alias("c"))
-    totals = dict(longest.groupBy("rest").agg(F.sum("c")).collect())
-    least = F.when(F.col("rest"), totals.get(True, 0) * share).otherwise(totals.get(False, 0) * share)
-    kept = counts.filter(F.col("c") >= least).toArrow()
-    drop(longest)
-    rest = kept["rest"].to_numpy()
-    k, gram, c = kept["k"].to_numpy(), kept["gram"].to_numpy().view(np.uint64), kept["c"].to_numpy()
-    return Trie.of(k[~rest], gram[~rest], c[~rest]), Trie.of(k[rest], gram[rest], c[rest])
+    names = ["rest", "gram", "c", "h"]
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rest, code, c, owner in _spelt(batches):
+            for at in range(0, len(code), 50_000):
+                part = slice(at, at + 50_000)
+                arrays = [np.full(len(code[part]), rest), code[part].view(np.int64), c[part], owner[part]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
+
+    shared = counted.sparkSession.sparkContext.broadcast(_roots(counted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[x.to_numpy(zero_copy_only=False) for x in b.columns] for b in batches if b.num_rows]
+        if not parts:
+            return
+        rest, gram, c, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        for kind in (False, True):
+            mine = np.flatnonzero(rest == kind)
+            grams, which = np.unique(gram[mine].view(np.uint64), return_inverse=True)
+            trie = Trie.of(grams, np.bincount(which, c[mine], len(grams)), range(ROOT + 1, ORDER + 1), shared.value[kind])
+            score = trie.score(grams, places_of(grams))[which]
+            owners, which = np.unique(owner[mine], return_inverse=True)
+            s = np.bincount(which, score, len(owners))
+            for at in range(0, len(owners), 50_000):
+                part = slice(at, at + 50_000)
+                arrays = [np.full(len(owners[part]), kind), owners[part], s[part]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["rest", "h", "s"])
+
+    symbols = counted.mapInArrow(spell, "rest boolean, gram long, c long, h long")
+    last = F.shiftright("gram", 8).bitwiseAND((1 << (8 * (ROOT + 1))) - 1)
+    dealt = symbols.repartition(last, "rest")
+    return dealt.mapInArrow(run, "rest boolean, h long, s double").groupBy("rest", "h").agg(F.sum("s").alias("s"))
+
+
+def _known(counted: DataFrame, log_rest: float) -> DataFrame:
+    """rest, h, word, trained, base, score: what each word (rest), and each beginning, adds to the scores of a text."""
+    scored = save(_scored(counted), "scored")
+    words = counted.filter("word is not null").select("h", "word", "c", F.when(F.length("word") >= HEAD, F.substring("word", 1, HEAD)).alias("head"))
+    heads = words.filter("c > 0 and head is not null").groupBy("head").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"))
+    words = words.join(scored.filter("rest").select("h", "s"), "h", "left").join(heads, "head", "left")
+    p = F.coalesce("s", F.lit(0.0))
+    escaped = F.log10("d") + p
+    new = F.when(F.col("c") > 0, F.log10(F.col("c") + F.pow(F.lit(10.0), escaped))).otherwise(escaped)
+    score = F.when(F.col("d").isNull(), p).otherwise(new - F.log10(F.col("n") + F.col("d")))
+    words = words.select(F.lit(True).alias("rest"), "h", "word", F.col("c").alias("trained"), (F.log10(F.col("c") + 0.5) - log_rest).alias("base"), score.alias("score"))
+    begun = counted.filter("code is not null").select(F.col("code").alias("h"), "c").join(scored.filter("not rest").select("h", "s"), "h")
+    begun = begun.select(F.lit(False).alias("rest"), "h", F.lit(None).cast("binary").alias("word"), F.col("c").alias("trained"), F.lit(0.0).alias("base"), F.col("s").alias("score"))
+    out = save(words.unionAll(begun), "known")
+    drop(scored)
+    return out
 
 
 @dataclass
 class Model:
-    beginnings: Trie
-    rests: Trie
-    #: Frequent words and their counts; the first HEAD bytes of words, with occurrences and distinct words.
+    #: Frequent words and what they add to the scores, and the same of the end; frequent beginnings, sorted, and their scores.
     words: pa.Array
-    counts: np.ndarray
-    heads: pa.Array
-    head_counts: np.ndarray
-    head_kinds: np.ndarray
-    log_rest: float
-
-    def after(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For words: log10 of d p, and of n + d, and whether n words, d of them distinct, that begin like this are known.
-
-        p is the probability of the rest, byte by byte. Where n isn't known, or the beginning is the whole word, it
-        stands alone.
-        """
-        at = pc.fill_null(pc.index_in(pc.binary_slice(words, 0, HEAD), self.heads), -1).to_numpy()
-        known = (at >= 0) & (pc.binary_length(words).to_numpy() >= HEAD)
-        n, d = np.zeros(len(words)), np.ones(len(words))
-        n[known], d[known] = self.head_counts[at[known]], self.head_kinds[at[known]]
-        return np.log10(d) + self.rests.score_rests(words), np.log10(n + d), known
-
-    def frequent_scores(self) -> tuple[np.ndarray, np.ndarray]:
-        """base and score of the frequent words."""
-        escaped, whole, known = self.after(self.words)
-        return np.log10(self.counts + 0.5) - self.log_rest, np.where(known, np.log10(self.counts + 10.0**escaped), escaped) - whole
-
-    def score(self, batch: pa.RecordBatch, uid: int, learnt: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        """One row for each document (doc_id, text) with what is known, and one for each word of it that isn't frequent."""
+    base: np.ndarray
+    word_score: np.ndarray
+    end_known: bool
+    end_base: float
+    codes: np.ndarray
+    code_score: np.ndarray
+
+    def score(self, batch: pa.RecordBatch, uid: int) -> pa.RecordBatch:
+        """One row for each document (doc_id, text) with what is known, and one for each word and beginning of it that isn't frequent."""
         words, lengths = tokenised(batch.column(1))
         size = batch.num_rows
-        codes, which = np.unique(beginnings(words, lengths), return_inverse=True)
-        owner = np.repeat(np.arange(size), lengths + 1)
-        score = np.bincount(owner, self.beginnings.score_beginnings(codes)[which], size)
+
+        def counted(owner: np.ndarray, which: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            pairs, c = np.unique(owner * max(1, kinds) + which, return_counts=True)
+            return pairs // max(1, kinds), pairs % max(1, kinds), c
+
         encoded = words.dictionary_encode()
         names = encoded.dictionary
-        pairs = np.repeat(np.arange(size), lengths) * max(1, len(names)) + encoded.indices.to_numpy()
-        pairs, c = np.unique(pairs, return_counts=True)
-        doc, name = pairs // max(1, len(names)), pairs % max(1, len(names))
+        doc, name, c = counted(np.repeat(np.arange(size), lengths), encoded.indices.to_numpy(), len(names))
         at = pc.fill_null(pc.index_in(names, self.words), -1).to_numpy()
-        n_known, base = np.zeros(size, np.int64), np.zeros(size)
-        if (end := pc.index_in(pa.scalar(b""), self.words).as_py()) is not None:
-            n_known += 1
-            base += learnt[0][end]
-        else:
-            base += log10(0.5) - self.log_rest
         found = at[name] >= 0
         hit = at[name[found]]
-        n_known += np.bincount(doc[found], c[found], size).astype(np.int64)
-        base += np.bincount(doc[found], c[found] * learnt[0][hit], size)
-        score += np.bincount(doc[found], c[found] * learnt[1][hit], size)
+        n_known = np.bincount(doc[found], c[found], size).astype(np.int64) + self.end_known
+        base = np.bincount(doc[found], c[found] * self.base[hit], size) + self.end_base
+        score = np.bincount(doc[found], c[found] * self.word_score[hit], size).astype(float)  # of nothing it is whole numbers
         places = np.flatnonzero(at < 0)
-        rare = names.take(pa.array(places))
-        escaped, whole, known = self.after(rare)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in rare.to_pylist()), np.uint64, len(rare))
-        row_of = np.zeros(len(names), np.int64)
-        row_of[places] = np.arange(len(places))
-        doc, c, row = doc[~found], c[~found], row_of[name[~found]]
-        alone = np.where(known[row], 0.0, escaped[row])
-        score += np.bincount(doc, c * (alone - whole[row]), size)
+        hashes = np.zeros(len(names), np.uint64)
+        hashes[places] = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names.take(pa.array(places)).to_pylist()), np.uint64, len(places))
+        rare = [(doc[~found], hashes[name[~found]].view(np.int64), c[~found])]
+
+        begun, which = np.unique(beginnings(words, lengths), return_inverse=True)
+        at = _find(self.codes, begun)
+        owner, found = np.repeat(np.arange(size), lengths + 1), at[which] >= 0
+        score += np.bincount(owner[found], self.code_score[at[which[found]]], size)
+        doc, name, c = counted(owner[~found], which[~found], len(begun))
+        rare.append((doc, begun[name].view(np.int64), c))
+
         own = np.fromiter((xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) for i in range(uid, uid + size)), np.uint64, size)
+        rest = np.concatenate([np.ones(size, bool), np.ones(len(rare[0][0]), bool), np.zeros(len(doc), bool)])
+        doc, h, c = (np.concatenate(x) for x in zip(*rare, strict=True))
         ids = pa.concat_arrays([batch.column(0), pa.nulls(len(doc), batch.column(0).type)])
 
-        def column(of_documents: np.ndarray, of_words: np.ndarray | None, mask: np.ndarray | None = None) -> pa.Array:
-            rest = np.zeros(len(doc), of_documents.dtype) if of_words is None else of_words
-            return pa.array(np.concatenate([of_documents, rest]), mask=mask)
+        def column(of_documents: np.ndarray, of_rare: np.ndarray | None = None) -> pa.Array:
+            return pa.array(np.concatenate([of_documents, np.zeros(len(doc), of_documents.dtype) if of_rare is None else of_rare]))
 
-        none = np.concatenate([np.ones(size, bool), ~known[row]])
         arrays = [
-            column(own.view(np.int64), hashes[row].view(np.int64)),  # the document's own row: any word will do, as it is taken no times
+            pa.array(rest),
+            column(own.view(np.int64), h),  # the document's own row: any word will do, as it is taken no times
             column(uid + np.arange(size), uid + doc),
             ids,
             column(np.zeros(size, np.int64), c.astype(np.int64)),
-            column(lengths + 1, None),
-            column(n_known, None),
-            column(base, None),
-            column(score, None),
-            column(np.zeros(size), escaped[row], none),
+            column(lengths + 1),
+            column(n_known),
+            column(base),
+            column(score),
         ]
-        return pa.RecordBatch.from_arrays(arrays, ["h", "uid", "doc_id", "c", "n", "n_known", "base", "score", "escaped"])
+        return pa.RecordBatch.from_arrays(arrays, ["rest", "h", "uid", "doc_id", "c", "n", "n_known", "base", "score"])
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Counts cover all training documents. A word's probability is that of its first bytes after the word before, times
-    (c + d p) / (n + d): n words, d of them distinct, began like this in training, c were this one, and p is the
-    probability of the rest, byte by byte. Frequent words, of which there can be at most 1 / WORD_SHARE, are looked up
-    in a broadcast table; the others are summed by document and joined with the table of counts by a 64-bit hash. The
-    trie is learnt from the counts and broadcast; what it says needs no join.
+    Counts cover all training documents, and no context, word or beginning is left out. A word's probability is that of its
+    first bytes after the word before, times (c + d p) / (n + d): n words, d of them distinct, began like this in training,
+    c were this one, and p is the probability of the rest, byte by byte. Every distinct beginning and word is scored once.
+    The scores of frequent ones, of which there can be at most 1 / CODE_SHARE and 1 / WORD_SHARE, are broadcast; the others
+    are summed by document and joined with the table of scores, words by a 64-bit hash.
 
     Null and empty texts hold one token, the end. Null identifiers count as empty texts for the choice of training
-    documents; identifiers may repeat; other columns are ignored. Without any training document, the trie is empty and
+    documents; identifiers may repeat; other columns are ignored. Without any training document, there are no contexts and
     all symbols are equally likely. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = save(_counted(docs), "counted")
-    words = counted.filter("word is not null").select("word", "c")
-    total, distinct = words.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total = total or 0
+    counted = save(_counted(docs).withColumn("h", F.xxhash64("word")), "counted")
+    word, c = F.col("word").isNotNull(), F.col("c")
+    sums = counted.agg(F.sum(F.when(word, c)), F.sum((word & (c > 0)).cast("long")), F.sum(F.when(F.length("word") == 0, c)), F.sum(F.when(~word, c)))
+    total, distinct, ends, begun = (x or 0 for x in sums.first())
     log_rest = log10(total + 0.5 * (distinct + 1))
-    frequent = words.filter((F.length("word") <= LONGEST) & (F.col("c") >= max(1, total * WORD_SHARE))).toArrow()
-    begun = words.filter(F.length("word") >= HEAD).groupBy(F.substring("word", 1, HEAD).alias("head"))
-    begun = begun.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).filter(F.col("n") >= max(1, total * LEAST_SHARE)).toArrow()
-    known = [c.combine_chunks() if c.num_chunks else pa.array([], c.type) for t in (frequent, begun) for c in t.columns]
-    model = Model(*train(counted), *known[:1], known[1].to_numpy(), known[2], known[3].to_numpy(), known[4].to_numpy(), log_rest)
+    known = _known(counted, log_rest)
+    drop(counted)
+    frequent = known.filter((F.length("word") <= LONGEST) & (F.col("trained") >= max(1, total * WORD_SHARE))).select("word", "base", "score").toArrow()
+    codes = known.filter(~F.col("rest") & (F.col("trained") >= max(1, begun * CODE_SHARE))).select("h", "score").toArrow()
+    names = frequent["word"].combine_chunks() if len(frequent) else pa.array([], pa.binary())
+    code, by_code = codes["h"].to_numpy().astype(np.int64).view(np.uint64), codes["score"].to_numpy()
+    order = np.argsort(code)
+    end_base = log10(ends + 0.5) - log_rest
+    model = Model(names, frequent["base"].to_numpy(), frequent["score"].to_numpy(), ends > 0, end_base, code[order], by_code[order])
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        learnt = own.frequent_scores()
         uid = TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in _pieces(whole):
-                yield own.score(batch, uid, learnt)
+                yield shared.value.score(batch, uid)
                 uid += batch.num_rows
 
     rows = docs.mapInArrow(
-        run, f"h long, uid long, doc_id {kind}, c long, n long, n_known long, base double, score double, escaped double"
+        run, f"rest boolean, h long, uid long, doc_id {kind}, c long, n long, n_known long, base double, score double"
     )
-    counts = words.select(F.xxhash64("word").alias("h"), F.col("c").alias("trained")).filter("trained > 0")
-    trained = F.coalesce("trained", F.lit(0))
-    joined = rows.join(counts.groupBy("h").agg(F.sum("trained").alias("trained")), "h", "left")
+    adds = known.groupBy("rest", "h").agg(F.sum("trained").alias("trained"), F.first("base").alias("b"), F.first("score").alias("s"))
+    joined = rows.join(adds, ["rest", "h"], "left")
     hidden = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
-    word = F.when(trained > 0, F.log10(trained + F.pow(F.lit(10.0), "escaped"))).otherwise(F.col("escaped"))
+
+    def added(x: str) -> Column:
+        return F.col("c") * F.coalesce(x, F.lit(0.0))
+
     return (
         joined.groupBy("uid")
         .agg(
             F.max("doc_id").alias("doc_id"),
             F.sum("n").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(trained > 0, F.col("c")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + F.col("c") * (F.log10(trained + 0.5) - log_rest)).alias("base_score"),
-            F.sum(F.col("score") + F.col("c") * F.coalesce(word, F.lit(0.0))).alias("score"),
+            F.sum(F.col("n_known") + F.when(F.col("rest") & (F.col("trained") > 0), F.col("c")).otherwise(0)).alias("n_known"),
+            F.sum(F.col("base") + added("b")).alias("base_score"),
+            F.sum(F.col("score") + added("s")).alias("score"),
         )
         .select(
             "doc_id", hidden.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"

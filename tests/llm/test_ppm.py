@@ -109,3 +109,33 @@ def test_small_tables(spark, rows):
     got = ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows)
     assert all(r.score <= 0 for r in got)
+
+
+def test_sequences_met_once_count_in_a_large_table(spark):
+    """More than 2^21 symbols: what was met once in them is still known, as it is in a small table."""
+    seen, hidden = [next(i for i in range(99) if (zlib.crc32(str(i).encode()) % 5 == 1) == x) for x in (False, True)]
+    rows = [(seen, "ab " * 800_000 + "zebra crossing"), (hidden, "zebra crossings ab")]
+    got = {r.doc_id: r for r in ppm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ws = words_of(rows[0][1])
+    counts, first, rest = Counter(ws), {}, {}
+    for (w, before), c in Counter(zip([*ws, None], [None, *ws], strict=True)).items():
+        learn(first, symbols(w, before)[0], c)
+    for w in counts:
+        learn(rest, symbols(w, None)[1], 1)
+    total = score(first, symbols(None, b"ab")[0])
+    for w, before in ((b"zebra", None), (b"crossings", b"zebra"), (b"ab", b"crossings")):
+        total += score(first, symbols(w, before)[0])
+        begun = [c for x, c in counts.items() if len(w) >= ppm.HEAD and x[: ppm.HEAD] == w[: ppm.HEAD]]
+        p = score(rest, symbols(w, None)[1])
+        total += log10((counts[w] + len(begun) * 10**p) / (sum(begun) + len(begun))) if begun else p
+    assert isclose(got[hidden].score, total, rel_tol=1e-9)
+
+
+def test_joined_scores_are_those_that_are_broadcast(spark, monkeypatch):
+    table = spark.createDataFrame(docs(), "doc_id long, text string")
+    before = {r.doc_id: r for r in ppm.score_documents(table).collect()}
+    monkeypatch.setattr(ppm, "CODE_SHARE", 2.0)
+    monkeypatch.setattr(ppm, "WORD_SHARE", 2.0)
+    for r in ppm.score_documents(table).collect():
+        old = before[r.doc_id]
+        assert r[:5] == old[:5] and isclose(r.score, old.score, rel_tol=1e-9) and isclose(r.base_score, old.base_score, rel_tol=1e-9)
