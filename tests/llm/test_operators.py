@@ -260,3 +260,21 @@ def test_saved_tables_leave_no_shuffle_files(spark):
     saved = scratch.save(table, "test")
     assert kept() == before and saved.count() == table.count() == 1000
     scratch.drop(saved)
+
+
+def test_lines_alike_in_pairs_are_not_all_compared(spark, monkeypatch):
+    """Lines like each other, but not like the shorter one that comes first in their keys: no more than some pairs a line."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    rows = [(0, " ".join([*words[:28], *("other" + w for w in words[:8])]))]
+    for k in range(60):
+        rows.append((k + 1, " ".join([*words[: k % 40], f"new{chr(97 + k // 26)}{chr(97 + k % 26)}", *words[k % 40 + 1 :]])))
+    compared, verify = [], line_dedup._verify
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verify", counted)
+    got = {r.doc_id: r._removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: int(k > 1) for k in range(61)}
+    assert sum(compared) <= 6 * len(rows), compared
