@@ -278,3 +278,20 @@ def test_lines_alike_in_pairs_are_not_all_compared(spark, monkeypatch):
     got = {r.doc_id: r._removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: int(k > 1) for k in range(61)}
     assert sum(compared) <= 6 * len(rows), compared
+
+
+def test_lines_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
+    """Lines of 20 common words and 12 of their own: any two share keys, none are similar but the last one and its copy."""
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(20)]
+    rows = [(k, " ".join([*words, *(f"own{chr(97 + k // 26)}{chr(97 + k % 26)}{chr(97 + j)}" for j in range(12))])) for k in range(60)]
+    rows.append((60, rows[-1][1] + " more"))
+    compared, verify = [], line_dedup._verify
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verify", counted)
+    got = {r.doc_id: r._removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: int(k == 60) for k in range(61)}
+    assert sum(compared) <= 3 * len(rows), compared
