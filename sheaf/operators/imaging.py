@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 # Fixed values of detection: probability of a box's pixel and of a whole box, growth, least pixels, longest side, sides' step.
 PIXEL, BOX, UNCLIP, LEAST_AREA, LONGEST, STEP = 0.3, 0.5, 1.6, 40, 960, 32
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+#: Pixels of maps whose components are found at once.
+TOGETHER = 1 << 20
 #: Boxes whose tops are closer than this are in one band, which is read from left to right.
 BAND = 10
 PAD_X, PAD_Y, LEAST_SIDE, RULE, RULE_RATIO = 0.04, 0.12, 6, 20, 4
@@ -80,19 +82,27 @@ def turned(image: np.ndarray) -> np.ndarray:
 
 def components(grid: np.ndarray) -> np.ndarray:
     """A number for each true pixel, equal for those connected by sides: the smallest place in the component; -1 elsewhere."""
-    place = np.where(grid, np.arange(grid.size).reshape(grid.shape), grid.size)
-    while True:
-        before = place.copy()
-        for axis in (0, 1):
-            for step in (slice(None), slice(None, None, -1)):
-                a = place[step] if axis == 0 else place[:, step]
-                m = grid[step] if axis == 0 else grid[:, step]
-                for k in range(1, a.shape[axis]):  # sweeps carry a number along whole runs
-                    old, new = (a[k - 1], a[k]) if axis == 0 else (a[:, k - 1], a[:, k])
-                    on = (m[k - 1] & m[k]) if axis == 0 else (m[:, k - 1] & m[:, k])
-                    new[on] = np.minimum(old[on], new[on])
-        if (before == place).all():
-            return np.where(grid, place, -1)
+    h, w = grid.shape
+    wide = w + 2  # a false pixel on either side ends the runs of each row
+    flat = np.pad(grid.astype(bool), ((0, 0), (1, 1))).ravel()
+    edges = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    low, high = np.searchsorted(end, start + wide, "right"), np.searchsorted(start, end + wide, "left")  # runs of the next row beside each
+    n = high - low
+    above = np.repeat(np.arange(len(start)), n)
+    below = np.arange(len(above)) + np.repeat(low - np.cumsum(n) + n, n)
+    root = np.arange(len(start))
+    while True:  # roots hang on the smallest one beside them, then all runs on their root
+        a, b = root[above], root[below]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    out = np.full(grid.size, -1)
+    first = start // wide * w + start % wide - 1
+    out[np.flatnonzero(grid)] = np.repeat(first[root], end - start)
+    return out.reshape(grid.shape)
 
 
 def boxes(prob: np.ndarray) -> list[tuple[float, float, float, float, float]]:
@@ -101,23 +111,36 @@ def boxes(prob: np.ndarray) -> list[tuple[float, float, float, float, float]]:
     A band ends where the next box's top is BAND or more below that of the one before; pairwise comparison of tops,
     as is sometimes done, isn't transitive and would let the order depend on the sort.
     """
+    _, found = boxes_of([prob])
+    return [tuple(b) for b in found.tolist()]
+
+
+def boxes_of(maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of maps of one width, and a row as of `boxes` for each box, map by map. Maps are taken at once, one under the other."""
+    heights, w = np.array([len(m) for m in maps]), maps[0].shape[1]
+    gap = np.zeros((1, w))
+    prob = np.concatenate([part for m in maps for part in (m, gap)])
+    top = np.cumsum(heights + 1) - heights - 1
     label = components(prob > PIXEL)
     ys, xs = np.nonzero(label >= 0)
-    h, w = prob.shape
-    found = []
-    if len(ys):
-        names, at = np.unique(label[ys, xs], return_inverse=True)
-        count, total = np.bincount(at), np.bincount(at, prob[ys, xs])
-        for k in np.flatnonzero((count >= LEAST_AREA) & (total / count >= BOX)):
-            x, y = xs[at == k], ys[at == k]
-            grow = count[k] * UNCLIP / (2 * (np.ptp(x) + np.ptp(y) + 2))
-            found.append((max(0.0, x.min() - grow), max(0.0, y.min() - grow), min(w - 1.0, x.max() + grow), min(h - 1.0, y.max() + grow), total[k] / count[k]))
-    found.sort(key=lambda b: b[1])
-    band, out = 0, []
-    for k, b in enumerate(found):
-        band += k > 0 and b[1] - found[k - 1][1] >= BAND
-        out.append((band, b[0], b))
-    return [b for *_, b in sorted(out, key=lambda x: x[:2])]
+    if not len(ys):
+        return np.zeros(0, int), np.zeros((0, 5))
+    _, at = np.unique(label[ys, xs], return_inverse=True)
+    count, total = np.bincount(at), np.bincount(at, prob[ys, xs])
+    order, begin = np.argsort(at, kind="stable"), np.cumsum(count) - count
+    kept = (count >= LEAST_AREA) & (total / count >= BOX)
+    x0, x1 = (f.reduceat(xs[order], begin)[kept] for f in (np.minimum, np.maximum))
+    y0, y1 = (f.reduceat(ys[order], begin)[kept] for f in (np.minimum, np.maximum))
+    count, total = count[kept], total[kept]
+    of = np.searchsorted(top, y0, "right") - 1
+    y0, y1 = y0 - top[of], y1 - top[of]
+    grow = count * UNCLIP / (2 * (x1 - x0 + y1 - y0 + 2))
+    found = np.stack([np.maximum(0.0, x0 - grow), np.maximum(0.0, y0 - grow), np.minimum(w - 1.0, x1 + grow), np.minimum(heights[of] - 1.0, y1 + grow), total / count], axis=1)
+    order = np.lexsort((found[:, 1], of))
+    of, found = of[order], found[order]
+    band = np.cumsum((np.diff(found[:, 1], prepend=0.0) >= BAND) | (np.diff(of, prepend=-1) != 0))
+    order = np.lexsort((found[:, 0], band))
+    return of[order], found[order]
 
 
 def detect(maps: DataFrame, key: str = "page") -> DataFrame:
@@ -125,13 +148,27 @@ def detect(maps: DataFrame, key: str = "page") -> DataFrame:
     kind = maps.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [key, "box_no", "x0", "y0", "x1", "y1", "score"]
         for frame in frames:
-            rows = []
+            names, grids, pixels = [], [], 0
             for name, w, h, prob in zip(frame[key], frame["width"], frame["height"], frame["prob"], strict=True):
-                grid = np.asarray(prob, float).reshape(int(h), int(w)) if prob is not None else np.zeros((1, 1))
-                rows += [(name, k, *map(float, b)) for k, b in enumerate(boxes(grid))]
-            yield pd.DataFrame(rows, columns=names)
+                if prob is None:
+                    continue
+                grid = np.asarray(prob, float).reshape(int(h), int(w))
+                if grids and (grid.shape[1] != grids[0].shape[1] or pixels + grid.size > TOGETHER):
+                    yield framed(names, grids)
+                    names, grids, pixels = [], [], 0
+                names.append(name)
+                grids.append(grid)
+                pixels += grid.size
+            if grids:
+                yield framed(names, grids)
+
+    def framed(names: list, grids: list[np.ndarray]) -> pd.DataFrame:
+        of, found = boxes_of(grids)
+        out = pd.DataFrame(found, columns=["x0", "y0", "x1", "y1", "score"])
+        out.insert(0, "box_no", np.arange(len(of)) - np.searchsorted(of, of))
+        out.insert(0, key, pd.Series([names[k] for k in of], dtype=object))
+        return out
 
     return maps.select(key, "width", "height", "prob").mapInPandas(run, f"{key} {kind}, box_no int, x0 double, y0 double, x1 double, y1 double, score double")
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -44,6 +45,27 @@ def test_boxes():
     assert imaging.boxes(np.zeros((3, 3))) == []
 
 
+def test_boxes_of_many_maps_equal_those_of_each():
+    rng = np.random.default_rng(5)
+    maps = [np.where(np.kron(rng.random((h, 10)) < 0.4, np.ones((6, 6))) > 0, 0.9, 0.1) * rng.uniform(0.8, 1, (6 * h, 60)) for h in (5, 1, 9, 3, 7)] + [np.zeros((4, 60))]
+    of, found = imaging.boxes_of(maps)
+    for k, m in enumerate(maps):
+        assert found[of == k].tolist() == [list(b) for b in imaging.boxes(m)]
+    assert set(of) == {0, 1, 2, 3, 4}
+
+
+def test_components_take_steps_by_runs_not_by_pixels():
+    began = time.perf_counter()
+    label = imaging.components(np.indices((1500, 1500)).sum(axis=0) % 7 > 0)
+    assert len(np.unique(label)) > 400 and time.perf_counter() - began < 20
+    spiral = np.ones((401, 401), bool)
+    for k in range(1, 190, 2):  # rings that are open at one place: sweeps would need one turn for each
+        spiral[k, k : 401 - k] = spiral[400 - k, k : 401 - k] = spiral[k : 401 - k, k] = spiral[k : 401 - k, 400 - k] = False
+        spiral[k, k + 1 + k % 3] = True
+    began = time.perf_counter()
+    assert set(np.unique(imaging.components(spiral))) == {-1, 0} and time.perf_counter() - began < 1
+
+
 def ring(size=40, thick=3):
     y, x = np.mgrid[:size, :size]
     d = np.hypot(y - 14, x - size / 2 + 0.5)
