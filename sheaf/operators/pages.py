@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as T
 from sheaf.operators import layout
 
 # Weights of a title's score.
+_PLAIN = rf"0-9{T.SPACE}.,:;()#/&'\"_-"
 TOP, LEFT, KEYWORD, ENGLISH, FIELD, DATED, LONG = 1.5, 0.3, 2.5, 0.45, 0.35, 0.6, 0.6
 
 
 def title_score(line: Column, page_height: Column, top: Column, width: Column) -> Column:
     """How much a line looks like the title; NULL if it can't be one. top and width are those of the page's lines."""
+    y = layout.middle(line) / page_height
+    facts = F.struct(T.trimmed(line["text"]).alias("t"), y.alias("y"))
+
+    def of(found: Column) -> Column:
+        cjk = T.has_cjk(found["t"])
+        kinds = F.struct((cjk & found["t"].rlike(T.TITLE_WORDS)).alias("keyword"), (~cjk).alias("english"))
+        score = T.bound(kinds, lambda k: _score(line, found["t"], found["y"], k["keyword"], k["english"], top, width))
+        return T.bound(score, lambda s: F.when(s > 0, s))
+
+    return F.when((F.length(line["text"]) >= 2) & (y <= 0.6), T.bound(facts, of))
+
+
+def _score(line: Column, t: Column, y: Column, keyword: Column, english: Column, top: Column, width: Column) -> Column:
+    """The score of a line that is high enough on its page, from its trimmed text, place and kind."""
     text, box = line["text"], line["bbox"]
-    t = T.trimmed(text)
-    keyword = t.rlike(T.TITLE_WORDS)
-    english = ~T.has_cjk(t)
     fragment = english & (t.rlike("^[a-z]") | (t.rlike("[a-z]") & t.rlike(r"\.\z")))
-    y = layout.middle(line) / page_height
     no_title = (
-        (F.length(text) < 2)
-        | text.rlike("专用章|公章|印章")
-        | t.rlike(rf"^(?i:Page[{T.SPACE}]+[0-9]+(?![A-Za-z0-9_])|第[{T.SPACE}]*[0-9]+[{T.SPACE}]*页)")
-        | (F.length(F.regexp_replace(t, rf"[0-9{T.SPACE}.,:;()#/&'\"_-]", "")) < 2)
-        | F.contains(t, F.lit("#"))
+        F.contains(t, F.lit("#"))
         | (~keyword & ((F.length(t) < 4) | fragment))
-        | (y > 0.6)
+        | (~english & text.rlike("专用章|公章|印章"))
+        | t.rlike(rf"^(?i:Page[{T.SPACE}]+[0-9]+(?![A-Za-z0-9_])|第[{T.SPACE}]*[0-9]+[{T.SPACE}]*页)")
+        | ~t.rlike(rf"[^{_PLAIN}][{_PLAIN}]*[^{_PLAIN}]")
     )
 
     def factor(condition: Column, value: float) -> Column:
@@ -44,7 +53,7 @@ def title_score(line: Column, page_height: Column, top: Column, width: Column) -
         * factor(text.rlike("(?:19|20)[0-9]{2}[-年/.]") & ~keyword, DATED)
         * factor(F.length(text) > 40, LONG)
     )
-    return F.when(~no_title & (score > 0), score)
+    return F.when(~no_title, score)
 
 
 def title_line(lines: Column, page_height: Column) -> Column:
@@ -62,6 +71,22 @@ def title_line(lines: Column, page_height: Column) -> Column:
     return F.get(F.transform(F.array(extent), best_of), 0)  # bound by the lambda, so that it is found once a page
 
 
+def title_lines(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, score, line_no of each page's title_line, from rows (keys, lines, page_height) of any number of lines.
+
+    Lines are rows here, so that their score is compiled; pages without a title have no row.
+    """
+    top, width = F.array_min(F.transform("lines", lambda l: l["bbox"]["y0"])), F.array_max(F.transform("lines", lambda l: l["bbox"]["x1"]))
+    each = rows.select(*keys, "page_height", top.alias("top"), width.alias("width"), F.explode("lines").alias("l"))
+    y = layout.middle(F.col("l")) / F.col("page_height")
+    each = each.filter((F.length("l.text") >= 2) & (y <= 0.6)).withColumns({"y": y, "t": T.trimmed(F.col("l.text"))})
+    each = each.withColumn("english", ~T.has_cjk(F.col("t"))).withColumn("keyword", ~F.col("english") & F.col("t").rlike(T.TITLE_WORDS))
+    score = _score(F.col("l"), *[F.col(c) for c in ("t", "y", "keyword", "english", "top", "width")])
+    scored = each.select(*keys, F.struct(score.cast("double").alias("score"), (-F.col("l.line_no")).alias("before")).alias("s"))
+    best = scored.groupBy(*keys).agg(F.max(F.when(F.col("s.score") > 0, F.col("s"))).alias("s")).filter("s is not null")
+    return best.select(*keys, "s.score", (-F.col("s.before")).cast("int").alias("line_no"))
+
+
 def title(lines: Column, page_height: Column, best: Column | None = None) -> Column:
     """The title: the best line with Chinese lines of like size that follow on it below, then above. best: its title_line."""
     best = title_line(lines, page_height) if best is None else best
@@ -107,19 +132,23 @@ def largest_cluster(ids: Column) -> Column:
 
 
 def most_repeated(values: Column) -> Column:
-    counts = F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda w: w == v)))
-    return F.coalesce(F.array_max(counts), F.lit(0))
+    def counted(values: Column) -> Column:
+        counts = F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda w: w == v)))
+        return F.coalesce(F.array_max(counts), F.lit(0))
+
+    return T.bound(values, counted)
 
 
 def repeated_skeletons(texts: Column) -> Column:
-    found = F.filter(F.transform(texts, T.skeleton), lambda s: (F.length(s) >= 4) & F.contains(s, F.lit("#")))
+    numbered = F.filter(texts, lambda t: t.rlike("[0-9#]"))  # other lines have no # in their structure
+    found = F.filter(F.transform(numbered, T.skeleton), lambda s: (F.length(s) >= 4) & F.contains(s, F.lit("#")))
     return most_repeated(found)
 
 
 def evidence(texts: Column, identifier: Column) -> Column:
     """Lines that hold an identifier, without its prefix for certificates."""
     bare = T.missing(F.regexp_replace(identifier, r"^(?i)No\.", ""))
-    return F.when(bare.isNull(), F.lit(0)).otherwise(F.size(F.filter(texts, lambda t: F.contains(t, bare))))
+    return T.bound(bare, lambda v: F.when(v.isNull(), F.lit(0)).otherwise(F.size(F.filter(texts, lambda t: F.contains(t, v)))))
 
 
 def is_list(cluster: Column, skeletons: Column, proved: Column) -> Column:
