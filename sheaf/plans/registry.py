@@ -31,20 +31,29 @@ def shape_clusters(spark: SparkSession, d: str) -> DataFrame:
     return each.groupBy("source", "shape").agg(F.count(F.lit(1)).alias("n_ids"), F.sum("n").alias("n_lines"))
 
 
+def _structure(lines: DataFrame) -> DataFrame:
+    """lines with s: the structure of those with a digit or a #, the only ones whose structure has a #, if it is long enough."""
+    found = lines.filter(F.col("line").rlike("[0-9#]")).withColumn("s", T.skeleton(F.col("line")))
+    return found.withColumn("s", F.when((F.length("s") >= 4) & F.contains(F.col("s"), F.lit("#")), F.col("s")))
+
+
 def skeleton_repeats(spark: SparkSession, d: str) -> DataFrame:
     """For each document the multiplicity of its most frequent line structure."""
-    found = tables.lines(spark, d).select("doc_id", T.skeleton(F.col("line")).alias("s"))
-    each = found.filter((F.length("s") >= 4) & F.contains(F.col("s"), F.lit("#"))).groupBy("doc_id", "s").agg(F.count(F.lit(1)).alias("n"))
+    each = _structure(tables.lines(spark, d)).filter("s is not null").groupBy("doc_id", "s").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("doc_id").agg(F.max("n").alias("most_repeated"), F.count(F.lit(1)).alias("n_skeletons"))
 
 
 def list_page_flag(spark: SparkSession, d: str) -> DataFrame:
-    ids = tables.candidates(spark, d).select("doc_id", F.upper("id").alias("id")).distinct()
-    shaped = ids.withColumn("shape", T.shape_key(F.col("id"))).filter("shape is not null")
-    cluster = shaped.groupBy("doc_id", "shape").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.max("n").alias("cluster"))
-    both = cluster.join(skeleton_repeats(spark, d).select("doc_id", "most_repeated"), "doc_id", "left")
-    repeats = F.coalesce("most_repeated", F.lit(0))
-    return both.select("doc_id", "cluster", repeats.alias("repeats"), pages.is_list(F.col("cluster"), repeats, F.lit(False)).alias("list_page"))
+    """Identifiers of one shape and lines of one structure in each document that has an identifier, both from one pass over its lines."""
+    rows = _structure(tables.lines(spark, d)).withColumn("id", F.when(F.col("line").rlike("[0-9]"), F.upper(T.first_token(F.col("line"), True))))
+    facts = F.array(F.struct(F.lit("").alias("shape"), F.col("s").alias("v")), F.struct(T.shape_key(F.col("id")).alias("shape"), F.col("id").alias("v")))
+    facts = rows.select("doc_id", "s", "id").select("doc_id", F.explode(facts).alias("x")).select("doc_id", "x.shape", "x.v").filter("shape is not null and v is not null")
+    each = facts.groupBy("doc_id", "shape", "v").agg(F.count(F.lit(1)).alias("n"))
+    kinds = each.groupBy("doc_id", "shape").agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("most"))
+    both = kinds.groupBy("doc_id").agg(
+        F.max(F.when(F.col("shape") != "", F.col("n"))).alias("cluster"), F.coalesce(F.max(F.when(F.col("shape") == "", F.col("most"))), F.lit(0)).alias("repeats")
+    ).filter("cluster is not null")
+    return both.select("doc_id", "cluster", "repeats", pages.is_list(F.col("cluster"), F.col("repeats"), F.lit(False)).alias("list_page"))
 
 
 def garbage_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -55,8 +64,8 @@ def garbage_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def title_pick(spark: SparkSession, d: str) -> DataFrame:
     """The line that looks most like the title of each document, and its score."""
-    found = tables.positioned(spark, d).select("doc_id", pages.title_line(F.col("lines"), F.col("page_height")).alias("t"))
-    return found.filter("t is not null").select("doc_id", "t.line_no", F.round("t.score", 6).alias("score"))
+    best = pages.title_lines(tables.positioned(spark, d), ["doc_id"])
+    return best.select("doc_id", "line_no", F.round("score", 6).alias("score"))
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
